@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quadrille.llm import chat, mixing, urls
+from quadrille.llm import chat, mixing, neardup, urls
 
 QUERIES = {
     "op2_poisson_mixing": mixing.op2_poisson_mixing,
     "op4_chat_parts": chat.op4_chat_parts,
     "op6_url_filter": urls.op6_url_filter,
+    "op9_bbit_minhash": neardup.op9_bbit_minhash,
 }
 SQL = {"op2_poisson_mixing": mixing.OP2_SQL, "op4_chat_parts": chat.OP4_SQL}
