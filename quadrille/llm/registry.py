@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quadrille.llm import chat, mixing, neardup, urls
+from quadrille.llm import chat, mixing, neardup, quality, toxicity, urls
 
 QUERIES = {
     "op2_poisson_mixing": mixing.op2_poisson_mixing,
+    "op3_factorisation_machine": quality.op3_factorisation_machine,
     "op4_chat_parts": chat.op4_chat_parts,
     "op6_url_filter": urls.op6_url_filter,
+    "op7_text_cnn": toxicity.op7_text_cnn,
     "op9_bbit_minhash": neardup.op9_bbit_minhash,
 }
 SQL = {"op2_poisson_mixing": mixing.OP2_SQL, "op4_chat_parts": chat.OP4_SQL}

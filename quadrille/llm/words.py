@@ -60,9 +60,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """hashes: one per word; first: n + 1 bounds of the rows in it; start, end: the words' bytes."""
+    """hashes: one per word; first: n + 1 bounds of the rows in it; start, end: the words' bytes; prefixes: of their first ``prefix`` bytes."""
 
-    def __init__(self, column: pa.Array, is_word: np.ndarray, fold: bool = True):
+    def __init__(self, column: pa.Array, is_word: np.ndarray, fold: bool = True, prefix: int = 0):
         self.raw, self.offsets = buffers(column)
         inside = is_word[self.raw]
         edge = np.zeros(len(self.raw) + 1, bool)
@@ -80,9 +80,12 @@ class Words:
             head = np.cumsum(size) - size
             place = np.arange(len(at)) - np.repeat(head, size)
             low = FOLD[self.raw[at]] if fold else self.raw[at]
-            self.hashes = mix(np.add.reduceat(_BYTE[low] * powers(_P, int(size.max()))[place], head) + size.astype(np.uint64))
+            values = _BYTE[low] * powers(_P, int(size.max()))[place]
+            self.hashes = mix(np.add.reduceat(values, head) + size.astype(np.uint64))
+            if prefix:
+                self.prefixes = mix(np.add.reduceat(np.where(place < prefix, values, np.uint64(0)), head))
         else:
-            self.hashes = np.zeros(0, np.uint64)
+            self.hashes = self.prefixes = np.zeros(0, np.uint64)
 
     @property
     def row(self) -> np.ndarray:
