@@ -126,7 +126,7 @@ def _fewest_lanes(threshold: float) -> int:
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, is_word: np.ndarray) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets, taken again from the texts, reach ``percent``."""
     ids = checkpointed(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
-    bits = docs.sparkSession.sparkContext.broadcast(slot_filter(ids, "id"))
+    bits = docs.sparkSession.sparkContext.broadcast(slot_filter(ids.select(id_slots(F.col("id")).alias("slot"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quadrille.llm import chat, mixing, neardup, quality, toxicity, urls
+from quadrille.llm import chat, decontaminate, linededup, mixing, neardup, quality, toxicity, urls
 
 QUERIES = {
+    "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
     "op2_poisson_mixing": mixing.op2_poisson_mixing,
     "op3_factorisation_machine": quality.op3_factorisation_machine,
     "op4_chat_parts": chat.op4_chat_parts,
     "op6_url_filter": urls.op6_url_filter,
     "op7_text_cnn": toxicity.op7_text_cnn,
     "op9_bbit_minhash": neardup.op9_bbit_minhash,
+    "op10_site_spread": linededup.op10_site_spread,
 }
-SQL = {"op2_poisson_mixing": mixing.OP2_SQL, "op4_chat_parts": chat.OP4_SQL}
+SQL = {"op2_poisson_mixing": mixing.OP2_SQL, "op4_chat_parts": chat.OP4_SQL, "op10_site_spread": linededup.OP10_SQL}

@@ -32,12 +32,11 @@ def id_slots(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_BITS)
 
 
-def slot_filter(keys: DataFrame, key: str) -> np.ndarray:
-    """A bitmap of the slots that ``keys`` has: 2 MB whatever the number of keys, so it may be broadcast.
+def slot_filter(slots: DataFrame) -> np.ndarray:
+    """A bitmap of the column ``slot``: 2 MB whatever the number of rows, so it may be broadcast.
 
     It only spares work: whoever uses it joins the exact keys afterwards.
     """
-    slots = keys.select(id_slots(F.col(key)).alias("slot"))
     parts = (
         slots.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("part"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
