@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import chat, decontaminate, linededup, mixing, neardup, quality, toxicity, urls
+from quadrille.llm import chat, decontaminate, linededup, mixing, neardup, quality, toxicity, urls, warc
 
 QUERIES = {
     "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
@@ -11,7 +11,8 @@ QUERIES = {
     "op4_chat_parts": chat.op4_chat_parts,
     "op6_url_filter": urls.op6_url_filter,
     "op7_text_cnn": toxicity.op7_text_cnn,
+    "op8_zip_warc": warc.op8_zip_warc,
     "op9_bbit_minhash": neardup.op9_bbit_minhash,
     "op10_site_spread": linededup.op10_site_spread,
 }
-SQL = {"op2_poisson_mixing": mixing.OP2_SQL, "op4_chat_parts": chat.OP4_SQL, "op10_site_spread": linededup.OP10_SQL}
+SQL = {"op2_poisson_mixing": mixing.OP2_SQL, "op4_chat_parts": chat.OP4_SQL, "op8_zip_warc": warc.OP8_SQL, "op10_site_spread": linededup.OP10_SQL}
