@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quadrille.llm import chat, decontaminate, linededup, mixing, neardup, quality, toxicity, urls, warc
+from quadrille.llm import ann, chat, decontaminate, linededup, mixing, neardup, quality, toxicity, urls, warc
 
 QUERIES = {
     "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
     "op2_poisson_mixing": mixing.op2_poisson_mixing,
     "op3_factorisation_machine": quality.op3_factorisation_machine,
     "op4_chat_parts": chat.op4_chat_parts,
+    "op5_multiprobe_lsh": ann.op5_multiprobe_lsh,
     "op6_url_filter": urls.op6_url_filter,
     "op7_text_cnn": toxicity.op7_text_cnn,
     "op8_zip_warc": warc.op8_zip_warc,
