@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from quadrille.llm.labelled import labelled_sample, remainder
 from quadrille.llm.words import WHITE, Words, slices
@@ -162,21 +163,23 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mac
     return fit(list(pdf.itertuples(index=False)), priors)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep_columns: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document; with ``keep_columns``, ``docs`` with the last three."""
     fitted = train(docs, labels, per_class)
     model = docs.sparkSession.sparkContext.broadcast(None if fitted is None else fitted.arrays())
+    docs = docs.drop("held_out", "score", "predicted") if keep_columns else docs.select("doc_id", "text", "n_chars")
+    names = docs.columns if keep_columns else ["doc_id"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = None if model.value is None else Machine.of(*model.value)
         for batch in batches:
             for part in slices(batch):
                 got = np.full(part.num_rows, 0.5) if m is None else m.score(part)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(got)], ["doc_id", "held_out", "score"])
+                yield part.select([*names, "held_out"]).append_column("score", pa.array(got))
 
-    kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.select("doc_id", (remainder(3) == 1).alias("held_out"), "text", "n_chars").mapInArrow(score, f"doc_id {kind}, held_out boolean, score double")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    held = docs.withColumn("held_out", remainder(3) == 1)
+    schema = StructType([*(docs.schema[c] for c in names), StructField("held_out", BooleanType()), StructField("score", DoubleType())])
+    return held.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op3_factorisation_machine(spark, sf_dir: str) -> DataFrame:
