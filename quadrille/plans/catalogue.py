@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quadrille.plans import graph_queries
+
+QUERIES: dict = dict(graph_queries.QUERIES)
+SQL: dict = dict(graph_queries.SQL)
