@@ -1,17 +1,18 @@
 """Near duplicates by b-bit MinHash: connected components of documents whose shingle sets are similar enough.
 
 1. A task turns each text into its set of distinct word shingles, LANES minima of it, BANDS band keys over
-   ROWS full minima each, and a signature of BITS low bits of every minimum, packed into longs.
+   ROWS full minima each, and a signature of the BITS low bits of SIGNED minima, packed into longs.
 2. Texts with equal sets become one class, so copies cost nothing further.
-3. Classes that share a band key are candidates. Each is paired with the smallest class of its bucket; bit
-   counts of the packed signatures estimate the similarity, corrected for chance collisions of the low bits,
-   and the best pair of each class is confirmed on the full sets.
-4. Where a bucket still holds more than one component, the members outside its largest one meet all members
-   of other components, in cells of bounded size; pairs whose estimate is within MARGIN standard errors of the
-   threshold are confirmed on the full sets. Pairs inside a component need no check: they change nothing.
-5. Components over the confirmed links; each document gets the smallest doc_id of its component.
+3. Classes that share a band key are candidates. Buckets that overlap form a family (components of the links
+   from each class to the smallest class of its bucket, so a bucket of n classes costs n rows).
+4. A family's members meet in cells of bounded size, with their signatures and full sets. Bit counts of the
+   signatures estimate every similarity, corrected for chance collisions of the low bits; pairs within MARGIN
+   standard errors of the threshold are confirmed on the full sets, and a cell gives back only the links that
+   hold its components together. A family over one cell is dealt out as pairs of its parts, so memory stays
+   bounded and no pair is left out; its work grows with the square of its classes, which exactness asks for.
+5. Components over the links; each document gets the smallest doc_id of its component.
 
-A pair at the threshold shares no band with probability (1 - 0.85**5)**25 = 4e-7 (0.8: 4e-5).
+A pair at a threshold of 0.85 shares no band with probability (1 - 0.85**7)**40 = 2e-7 (0.8: 8e-5).
 
 Defined results: words are as ``is_word`` says after A-Z are lowered; a text with fewer words than a shingle
 is one shingle, its whole sequence; null, empty or wordless texts have no shingles and are linked with nothing;
@@ -26,7 +27,7 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.components import components
@@ -34,10 +35,13 @@ from quadrille.llm.runs import runs
 from quadrille.llm.tables import checkpointed, id_slots, in_filter, slot_filter
 from quadrille.llm.words import WHITE, Words, mix, powers, slices, windows
 
-LANES, BITS, BANDS, ROWS = 128, 4, 25, 5
+BITS, BANDS, ROWS, SIGNED = 4, 40, 7, 128
+LANES = BANDS * ROWS
 MARGIN = 5.0
-#: Members of a bucket that meet in one cell, at most, on either side.
-CELL = 1024
+#: Members and shingles that a part of a family has, about; two parts meet in a cell.
+CELL, CELL_SHINGLES = 1024, 1 << 20
+#: Pairs for each member of a cell up to which they are confirmed one by one, and not by a matrix product.
+SINGLY = 8
 
 _rng = np.random.Generator(np.random.PCG64(9))
 _A = _rng.integers(1, 2**64, LANES, dtype=np.uint64) | np.uint64(1)
@@ -76,7 +80,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (n, BANDS) and packed low bits (n, LANES * BITS / 64) of sets, none of them empty."""
+    """Band keys (n, BANDS) and packed low bits (n, SIGNED * BITS / 64) of sets, none of them empty."""
     n = len(bounds) - 1
     minima = np.empty((LANES, n), np.uint64)
     for lane in range(LANES):
@@ -88,9 +92,9 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
             key = mix(key + minima[lane]) * _STEP
         keys[:, band] = key
     per = 64 // BITS
-    low = mix(minima) & np.uint64((1 << BITS) - 1)
-    packed = np.zeros((n, LANES // per), np.uint64)
-    for lane in range(LANES):
+    low = mix(minima[:SIGNED]) & np.uint64((1 << BITS) - 1)
+    packed = np.zeros((n, SIGNED // per), np.uint64)
+    for lane in range(SIGNED):
         packed[:, lane // per] |= low[lane] << np.uint64(BITS * (lane % per))
     return keys, packed
 
@@ -98,34 +102,87 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 _ONES = sum(1 << (BITS * i) for i in range(64 // BITS))
 
 
-def equal_lanes(a: Column, b: Column) -> Column:
-    """Lanes in which two packed signatures agree: bit counts of the folded exclusive or."""
-
-    def word(x: Column, y: Column) -> Column:
-        d = x.bitwiseXOR(y)
-        folded = d
-        for i in range(1, BITS):
-            folded = folded.bitwiseOR(F.shiftrightunsigned(d, i))
-        return F.lit(64 // BITS) - F.bit_count(folded.bitwiseAND(F.lit(_ONES)))
+def equal_lanes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lanes in which packed signatures agree, for all pairs: bit counts of the folded exclusive or."""
+    lanes = np.zeros((len(a), len(b)), np.int32)
+    for k in range(a.shape[1]):
+        d = a[:, k][:, None] ^ b[:, k][None, :]
+        for i in (1, 2):  # BITS neighbours into one
+            d |= d >> np.uint64(i)
+        lanes += 64 // BITS - np.bitwise_count(d & np.uint64(_ONES)).astype(np.int32)
+    return lanes
 
-    return F.aggregate(F.zip_with(a, b, word), F.lit(0), lambda s, x: s + x)
 
-
-def estimate(lanes: Column) -> Column:
+def estimate(lanes: np.ndarray) -> np.ndarray:
     """Similarity by equal lanes, corrected for the chance 2**-BITS that different minima share their low bits."""
     chance = 2.0**-BITS
-    return (lanes / F.lit(float(LANES)) - F.lit(chance)) / F.lit(1 - chance)
+    return (lanes / SIGNED - chance) / (1 - chance)
 
 
-def _fewest_lanes(threshold: float) -> int:
+def _margin(threshold: float) -> float:
+    """Estimate below which a pair cannot reach the threshold, but for MARGIN standard errors."""
     chance = 2.0**-BITS
     p = threshold + (1 - threshold) * chance
-    return int(LANES * p - MARGIN * sqrt(LANES * p * (1 - p)))
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, is_word: np.ndarray) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets, taken again from the texts, reach ``percent``."""
-    ids = checkpointed(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
+    return threshold - MARGIN * sqrt(p * (1 - p) / SIGNED) / (1 - chance)
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of incidence matrices over blocks of shingles."""
+    flat = np.concatenate(sets)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    many = times > 1
+    place = np.cumsum(many) - 1
+    use = many[column]
+    owner, column = owner[use], place[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = 2048
+    for low in range(0, int(many.sum()), width):
+        a, b = np.searchsorted(column, [low, low + width])
+        x = np.zeros((len(sets), width), np.float32)
+        x[owner[a:b], column[a:b] - low] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def links_of(ids: np.ndarray, packed: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a > b) that span the components which the members of one cell form among themselves."""
+    least, n = _margin(percent / 100), np.array([len(s) for s in sets])
+    xs, ys = [], []
+    for at in range(0, len(ids), 128):
+        x, y = np.nonzero(estimate(equal_lanes(packed[at : at + 128], packed)) >= least)
+        x = x + at
+        low = (x < y) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        xs.append(x[low])
+        ys.append(y[low])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    if len(x) > SINGLY * len(ids):
+        some, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+        both = common([sets[i] for i in some])[back[: len(x)], back[len(x) :]]
+    else:
+        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+    good = 100 * both >= percent * (n[x] + n[y] - both)
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True):
+        i, j = find(i), find(j)
+        if i != j:
+            root[max(i, j)] = min(i, j)
+    top = np.array([find(i) for i in range(len(ids))])
+    own = np.flatnonzero(top != np.arange(len(ids)))
+    return np.maximum(ids[own], ids[top[own]]), np.minimum(ids[own], ids[top[own]])
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, width: int, is_word: np.ndarray) -> DataFrame:
+    """(id, shingles) of the documents in ``ids`` (column id), taken again from the texts."""
     bits = docs.sparkSession.sparkContext.broadcast(slot_filter(ids.select(id_slots(F.col("id")).alias("slot"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,51 +193,32 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, is_wo
                 values = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), values], ["id", "shingles"])
 
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text", id_slots(F.col("doc_id")).alias("slot"))
-    full = texts.mapInArrow(sets, "id bigint, shingles array<bigint>").join(ids, "id", "left_semi")
-    full = checkpointed(full.groupBy("id").agg(F.max("shingles").alias("shingles")))
-    left = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = full.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
-
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("id"), "text", id_slots(F.col("doc_id").cast("bigint")).alias("slot"))
+    return texts.mapInArrow(sets, "id bigint, shingles array<bigint>")
 
-def _cell_pairs(fewest: int):
-    """Pairs of a cell, one side outside the bucket's largest component, whose lanes agree often enough."""
 
+def _meet(percent: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in runs(batches, ["key", "r", "m"]):
-            outside = cell.column("outside").to_numpy()
-            ids, comp = cell.column("id").to_numpy(), cell.column("comp").to_numpy()
-            packed = cell.column("packed").combine_chunks().values.to_numpy().view(np.uint64).reshape(len(ids), -1)
-            rows, others = np.flatnonzero(outside), np.flatnonzero(~outside)
-            for at in range(0, len(rows), 128):
-                some = rows[at : at + 128]
-                lanes = np.zeros((len(some), len(others)), np.int32)
-                for k in range(packed.shape[1]):
-                    d = packed[some, k][:, None] ^ packed[others, k][None, :]
-                    for i in (1, 2):
-                        d |= d >> np.uint64(i)
-                    lanes += 64 // BITS - np.bitwise_count(d & np.uint64(_ONES)).astype(np.int32)
-                ok = (lanes >= fewest) & (comp[some][:, None] != comp[others][None, :])
-                x, y = np.nonzero(ok)
-                a, b = ids[some][x], ids[others][y]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        for cell in runs(batches, ["family", "i", "j"]):
+            ids = cell.column("id").to_numpy()
+            packed = cell.column("packed").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            shingles = cell.column("shingles").combine_chunks()
+            flat, cut = shingles.flatten().to_numpy().view(np.uint64), shingles.offsets.to_numpy()
+            cut = cut - cut[0]
+            a, b = links_of(ids, packed, [flat[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return meet
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, is_word: np.ndarray = ~WHITE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
-    threshold = percent / 100
-    fewest = _fewest_lanes(threshold)
-
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 h, bounds = shingle_sets(part.column("text"), width, is_word)
                 n = np.diff(bounds)
-                keys, packed = np.zeros((len(n), BANDS), np.uint64), np.zeros((len(n), LANES * BITS // 64), np.uint64)
+                keys, packed = np.zeros((len(n), BANDS), np.uint64), np.zeros((len(n), SIGNED * BITS // 64), np.uint64)
                 d1, d2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
                 some = np.flatnonzero(n)
                 if len(some):
@@ -194,32 +232,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, is_word:
     signed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(sign, "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>, packed array<bigint>")
     signed = checkpointed(signed)
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = checkpointed(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("packed").alias("packed")))
+    merged = usable.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "n", "keys", "packed"), "doc_id").alias("c"))
+    classes = checkpointed(merged.select("d1", "d2", F.col("c.doc_id").alias("id"), "c.n", "c.keys", "c.packed"))
     banded = classes.select("id", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    # only classes that share a bucket go on
-    bucketed = checkpointed(banded.join(shared, "key"))
-    sig = classes.select("id", "packed")
-    tries = bucketed.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    tries = tries.join(sig.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a").join(sig.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b")
-    tries = tries.withColumn("lanes", equal_lanes(F.col("pa"), F.col("pb"))).where(F.col("lanes") >= fewest)
-    best = checkpointed(tries.groupBy("a").agg(F.max_by("b", F.struct("lanes", -F.col("b"))).alias("b")))
-    links = checkpointed(confirmed(best, docs, width, percent, is_word))
+    pivots = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot != last").select("key", "pivot")
+    families = components(banded.join(pivots, "key").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    members = checkpointed(families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(classes.select("id", "n", "packed"), "id"))
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts"))
+    dealt = members.join(sizes, "family").withColumn("c", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sets = full_sets(docs, members.select("id"), width, is_word)
+    cells = dealt.join(sets, "id").select("family", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "id", "packed", "shingles")
+    links = cells.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_meet(percent), "a bigint, b bigint")
     comps = components(links)
-    # buckets of more than one component
-    placed = bucketed.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("comp"))
-    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all"), F.max("c").alias("most")).where("comps > 1")
-    mixed = checkpointed(placed.join(main, "key").join(sig, "id"))
-    cells_m = F.ceil(F.col("all") / CELL).cast("int")
-    cells_r = F.ceil((F.col("all") - F.col("most")) / CELL).cast("int")
-    side = mixed.select("key", "id", "comp", "main", "packed", cells_m.alias("nm"), cells_r.alias("nr"))
-    every = side.select("key", "id", "comp", "packed", F.pmod(F.xxhash64("id"), F.col("nm")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), F.lit(False).alias("outside"))
-    rest = side.where("comp != main").select("key", "id", "comp", "packed", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.pmod(F.xxhash64("id"), F.col("nr")).cast("int").alias("r"), F.lit(True).alias("outside"))
-    cells = every.unionByName(rest).repartition("key", "r", "m").sortWithinPartitions("key", "r", "m")
-    more = checkpointed(cells.mapInArrow(_cell_pairs(fewest), "a bigint, b bigint").distinct())
-    found = confirmed(more, docs, width, percent, is_word)
-    comps = components(links.unionAll(found))
     # every document by its class
     named = classes.select("d1", "d2", "id").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     by_set = signed.join(named, ["d1", "d2"], "left")
