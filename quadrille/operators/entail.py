@@ -26,6 +26,7 @@ def _typed(rows: DataFrame, s: str, c: str) -> DataFrame:
 
 def one_round(new: DataFrame, old: DataFrame) -> DataFrame:
     """What the rules give from ``new`` together with ``old`` (which includes ``new``)."""
+    new = new.toDF(*KEY)
     typ = _about(old, T.RDF_TYPE, "x", "c")
     new_typ = _about(new, T.RDF_TYPE, "x", "c")
     sub = _about(old, T.SUBCLASS, "c", "d").unionByName(_about(old, T.OWL + "equivalentClass", "c", "d")).unionByName(_about(old, T.OWL + "equivalentClass", "d", "c"))
@@ -59,9 +60,10 @@ def one_round(new: DataFrame, old: DataFrame) -> DataFrame:
     some = on.join(_about(old, T.OWL + "someValuesFrom", "c", "k"), ["g", "c"])
     member = some.join(typ.select("g", F.col("x").alias("o"), F.col("c").alias("k")), ["g", "k"])
     out.append(_typed(plain.join(member, ["g", "p", "o"]), "s", "c"))
-    result = out[0]
+    # each rule's columns under names of their own: a union over one checkpointed frame must not share attributes
+    result = out[0].select(*KEY).toDF(*KEY)
     for r in out[1:]:
-        result = result.unionByName(r)
+        result = result.unionAll(r.select(*KEY).toDF(*KEY))
     return result.distinct()
 
 

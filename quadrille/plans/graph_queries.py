@@ -75,11 +75,11 @@ def bgp_union(spark, sf):
     return P.alternatives(P.one(q, ("?node", T.LABEL, "?x")).select("node"), P.one(q, ("?node", M.SUPPLIES, "?x")).select("node"))
 
 
-@query("bgp_minus", f"""WITH {M.QUADS_SQL} SELECT DISTINCT s AS customer FROM quads t WHERE p = '{TYPE}' AND o = 'urn:x:type/customer'
-AND NOT EXISTS (SELECT 1 FROM quads c WHERE c.s = t.s AND c.p = '{M.CONTAINS}')""")
+@query("bgp_minus", f"""WITH {M.QUADS_SQL} SELECT DISTINCT s AS supplier FROM quads t WHERE p = '{TYPE}' AND o = 'urn:x:type/supplier'
+AND NOT EXISTS (SELECT 1 FROM quads c WHERE c.s = t.s AND c.p = '{M.SUPPLIES}' AND c.o = 'urn:x:part/7')""")
 def bgp_minus(spark, sf):
     q = M.quads(spark, sf)
-    return P.minus(P.one(q, ("?customer", TYPE, "urn:x:type/customer")), P.one(q, ("?customer", M.CONTAINS, "?order")))
+    return P.minus(P.one(q, ("?supplier", TYPE, "urn:x:type/supplier")), P.one(q, ("?supplier", M.SUPPLIES, "urn:x:part/7")))
 
 
 @query("bgp_filter_strstarts", f"WITH {M.QUADS_SQL} SELECT DISTINCT s, p, o FROM quads WHERE starts_with(o, 'urn:x:nation/1') AND p <> '{TYPE}'")
