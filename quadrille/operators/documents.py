@@ -43,7 +43,7 @@ def predicate(value: Column, op: str, literal: str) -> Column:
 
 
 def resolve(docs: DataFrame, key: str, declared: dict[str, str] | None) -> Column:
-    """The column of a filter key. Declared types take declared local names or full property names only; others look into ``body`` for the exact key, or one that ends in ``/key`` or ``#key``."""
+    """The column of a filter key. Declared types take declared local names or full property names only; others look into ``body`` for the exact key, or one that ends in it after a slash or a hash; a key that no document has is refused, never silently empty."""
     if declared is not None:
         if key in declared:
             return F.col(declared[key])
@@ -53,8 +53,10 @@ def resolve(docs: DataFrame, key: str, declared: dict[str, str] | None) -> Colum
     if "body" not in docs.columns:
         raise Refused(f"key {key!r} cannot be resolved")
     fields = F.from_json("body", "map<string,string>")
-    found = F.map_filter(fields, lambda k, v: (k == key) | k.endswith("/" + key) | k.endswith("#" + key))
-    return F.coalesce(F.try_element_at(fields, F.lit(key)), F.try_element_at(F.map_values(found), F.lit(1)))
+    here = F.map_filter(fields, lambda k, v: (k == key) | k.endswith("/" + key) | k.endswith("#" + key))
+    if docs.where(F.size(here) > 0).isEmpty() and not docs.isEmpty():
+        raise Refused(f"no document has a key {key!r}")
+    return F.coalesce(F.try_element_at(fields, F.lit(key)), F.try_element_at(F.map_values(here), F.lit(1)))
 
 
 def query(docs: DataFrame, filters: list[tuple[str, str, str]], declared: dict[str, str] | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
