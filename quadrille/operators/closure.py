@@ -45,7 +45,7 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, max_depth: int =
             return Reached(found, depth, False)
         if depth >= max_depth:
             return Reached(found, depth, True)
-        found, frontier, depth = found.unionByName(fresh).checkpoint(), fresh, depth + 1
+        found, frontier, depth = found.unionByName(fresh), fresh, depth + 1
 
 
 def reach(quads: DataFrame, start: str, via: str, max_depth: int = 64, declared: list[str] | None = None) -> Reached:

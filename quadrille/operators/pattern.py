@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 Triple = tuple[str, str, str]
 
 
-def one(quads: DataFrame, triple: Triple, same_graph: bool = False) -> DataFrame:
-    """The bindings of one triple pattern."""
+def one(quads: DataFrame, triple: Triple, same_graph: bool = False, distinct: bool = True) -> DataFrame:
+    """The bindings of one triple pattern; without ``distinct``, a triple of several graphs may bind more than once."""
     keep, rows = {}, quads
     for column, term in zip("spo", triple, strict=True):
         if not term.startswith("?"):
@@ -26,7 +26,8 @@ def one(quads: DataFrame, triple: Triple, same_graph: bool = False) -> DataFrame
         else:
             keep[term[1:]] = column
     out = [F.col(c).alias(v) for v, c in keep.items()]
-    return rows.select(*([F.col("g")] if same_graph else []), *(out or [F.lit(1).alias("_")])).distinct()
+    found = rows.select(*([F.col("g")] if same_graph else []), *(out or [F.lit(1).alias("_")]))
+    return found.distinct() if distinct else found
 
 
 def join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -38,7 +39,7 @@ def join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def match(quads: DataFrame, triples: list[Triple], same_graph: bool = False) -> DataFrame:
-    return reduce(join, [one(quads, t, same_graph) for t in triples])
+    return reduce(join, [one(quads, t, same_graph, distinct=False) for t in triples]).distinct()
 
 
 def optional(bindings: DataFrame, more: DataFrame) -> DataFrame:

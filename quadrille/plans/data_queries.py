@@ -206,7 +206,7 @@ CONSTRAINTS = {
 def _violations_sql(name: str) -> str:
     c, value, where = CONSTRAINTS[name]
     path = f"'{P}twin'" if name == "closed" else f"'{c.path}'"
-    return f"SELECT {ORDER} AS focus, {path} AS path, '{c.component}' AS component, '{c.severity}' AS severity, {value} AS value, 'Order' AS shape FROM orders WHERE {where}"
+    return f"SELECT {ORDER} AS focus, {path} AS path, '{c.component}' AS component, '{c.severity}' AS severity, {value}::VARCHAR AS value, 'Order' AS shape FROM orders WHERE {where}"
 
 
 def _violations(name: str):
