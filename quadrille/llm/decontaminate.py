@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks over SPAN tokens each ignore some positions, so a window with substitutions still agrees under a
-mask whose positions it left alone. Hashes of benchmark windows under each mask are joined with those of the
+Fixed masks over at most 12 tokens each ignore some positions, so a window with substitutions still agrees under
+a mask whose positions it left alone. The masks lose nothing: every segment with at least LEAST tokens in common
+at an identity of IDENTITY meets one of them, wherever its substitutions stand (a test goes through all strings of
+equal and unequal tokens with an automaton). Hashes of benchmark windows under each mask are joined with those of the
 training texts; each hit gives a diagonal between a text and an item, and the overlap along it is verified:
 the segment of best score (a match +1, a substitution -SUBSTITUTION) must hold at least LEAST tokens in common
 at an identity of IDENTITY.
@@ -11,7 +13,7 @@ scan of the texts; beyond that, texts only meet a bitmap of the benchmark's hash
 hits carry their surroundings, and Spark joins them with the benchmark by hash, its side salted.
 
 Defined results: tokens are runs of letters and digits, lower-cased; items with fewer than LEAST tokens, null or
-empty ones match nothing; items shorter than SPAN use their length as span; null, empty or short texts are
+empty ones match nothing; null, empty or short texts are
 clean; repeated rows of one doc_id give one row per item with the best overlap; rows with a null doc_id are
 never reported; repeated items are items of their own; an empty table gives an empty result.
 """
@@ -29,9 +31,8 @@ from pyspark.sql import functions as F
 from quadrille.llm.tables import FILTER_BITS, bucket_of, in_filter, slot_filter
 from quadrille.llm.words import ALNUM, Words, mix, slices, windows
 
-SPAN = 12
-#: Positions that each mask reads, of SPAN.
-MASKS = [(0, 1, 2, 4, 7, 8, 10, 11), (0, 1, 3, 5, 6, 9, 10, 11), (0, 2, 3, 4, 5, 8, 9, 11), (0, 1, 2, 3, 6, 7, 9, 11)]
+#: Positions that each mask reads of a window.
+MASKS = [(0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 3, 6, 7), (0, 1, 3, 10, 11)]
 LEAST, IDENTITY, SUBSTITUTION = 9, 0.75, 2
 BROADCAST_HASHES = 2_000_000
 SALTS, AROUND = 16, 96
@@ -43,12 +44,11 @@ def tokens(column: pa.Array) -> Words:
     return Words(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")), ALNUM)
 
 
-def seeds(hashes: np.ndarray, spans: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(span, hash of the window at each position) under each mask; shorter spans cut the masks."""
-    for span in spans:
-        for k, places in enumerate(MASKS):
-            h = windows(hashes, span, tuple(p for p in places if p < span))
-            yield span, mix(h + np.uint64(1000 * span + k))
+def seeds(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(span, hash of the window at each position) under each mask."""
+    for k, places in enumerate(MASKS):
+        span = places[-1] + 1
+        yield span, mix(windows(hashes, span, places) + np.uint64(k))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -68,14 +68,14 @@ def convincing(matched: int, span: int) -> bool:
 class Index:
     """The benchmark's window hashes in order, with item and position of each, and all items' tokens."""
 
-    def __init__(self, hashes, items, places, ids, words, first, spans):
-        self.hashes, self.items, self.places, self.ids, self.words, self.first, self.spans = hashes, items, places, ids, words, first, spans
+    def __init__(self, hashes, items, places, ids, words, first):
+        self.hashes, self.items, self.places, self.ids, self.words, self.first = hashes, items, places, ids, words, first
 
     def search(self, hashes: np.ndarray, near: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, tokens in common, span) of the convincing overlaps of one text; ``near``: where windows may hit."""
         seen: set[tuple[int, int]] = set()
         found: dict[int, tuple[int, int]] = {}
-        for _, h in seeds(hashes, self.spans):
+        for _, h in seeds(hashes):
             at = np.flatnonzero(near[: len(h)])
             left, right = (np.searchsorted(self.hashes, h[at], side) for side in ("left", "right"))
             times = right - left
@@ -107,7 +107,7 @@ def _bench_seeds(ids: np.ndarray, lists: list[np.ndarray]):
     """Parallel arrays (hash, item index, place) over all items."""
     hashes, items, places = [], [], []
     for i, words in enumerate(lists):
-        for _, h in seeds(words, [min(SPAN, len(words))]):
+        for _, h in seeds(words):
             hashes.append(h)
             items.append(np.full(len(h), i))
             places.append(np.arange(len(h)))
@@ -116,22 +116,16 @@ def _bench_seeds(ids: np.ndarray, lists: list[np.ndarray]):
     return np.concatenate(hashes), np.concatenate(items), np.concatenate(places)
 
 
-def _spans(items: DataFrame) -> list[int]:
-    """The window lengths in use: SPAN and those of shorter items; at most SPAN - LEAST + 1 numbers."""
-    return sorted(r.s for r in items.select(F.least(F.size("words"), F.lit(SPAN)).alias("s")).distinct().collect())
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """(doc_id, item_id, matched, span): every text and item with a convincing overlap."""
     items = bench_items(benchmark)
-    spans = _spans(items)
     size = items.agg(F.sum(F.size("words"))).first()[0] or 0
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    pairs = _by_broadcast(texts, items, spans) if size * len(MASKS) <= broadcast_hashes else _by_shuffle(texts, items, spans)
+    pairs = _by_broadcast(texts, items) if size * len(MASKS) <= broadcast_hashes else _by_shuffle(texts, items)
     return pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("span")).alias("less"))).alias("best")).select("doc_id", "item_id", F.col("best.matched").alias("matched"), (-F.col("best.less")).alias("span"))
 
 
-def _by_broadcast(texts: DataFrame, items: DataFrame, spans: list[int]) -> DataFrame:
+def _by_broadcast(texts: DataFrame, items: DataFrame) -> DataFrame:
     rows = items.toArrow()  # at most broadcast_hashes / masks tokens
     ids = rows.column("item_id").to_numpy()
     lists = [np.asarray(x, np.int64).view(np.uint64) for x in rows.column("words").to_pylist()]
@@ -139,7 +133,7 @@ def _by_broadcast(texts: DataFrame, items: DataFrame, spans: list[int]) -> DataF
     order = np.argsort(hashes, kind="stable")
     first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     words = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-    shared = texts.sparkSession.sparkContext.broadcast((hashes[order], owner[order], places[order], ids, words, first, spans))
+    shared = texts.sparkSession.sparkContext.broadcast((hashes[order], owner[order], places[order], ids, words, first))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value)
@@ -150,7 +144,7 @@ def _by_broadcast(texts: DataFrame, items: DataFrame, spans: list[int]) -> DataF
             for part in slices(batch):
                 w = tokens(part.column("text"))
                 row, near = w.row, np.zeros(len(w.hashes), bool)
-                for span, h in seeds(w.hashes, index.spans):
+                for span, h in seeds(w.hashes):
                     near[: len(h)] |= slots[(h >> np.uint64(42)).astype(np.int64)] & (row[: len(h)] == row[span - 1 :][: len(h)])
                 out = []
                 ids_ = part.column("doc_id").to_pylist()
@@ -162,7 +156,7 @@ def _by_broadcast(texts: DataFrame, items: DataFrame, spans: list[int]) -> DataF
     return texts.mapInArrow(search, PAIR)
 
 
-def _by_shuffle(texts: DataFrame, items: DataFrame, spans: list[int]) -> DataFrame:
+def _by_shuffle(texts: DataFrame, items: DataFrame) -> DataFrame:
     def bench(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, words in zip(batch.column("item_id").to_pylist(), batch.column("words").to_pylist(), strict=True):
@@ -181,7 +175,7 @@ def _by_shuffle(texts: DataFrame, items: DataFrame, spans: list[int]) -> DataFra
             for part in slices(batch):
                 w, ids_ = tokens(part.column("text")), part.column("doc_id").to_numpy()
                 row = w.row
-                for span, h in seeds(w.hashes, spans):
+                for span, h in seeds(w.hashes):
                     ok = in_filter(bits.value, h >> np.uint64(64 - FILTER_BITS)) & (row[: len(h)] == row[span - 1 :][: len(h)])
                     at = np.flatnonzero(ok)
                     lo, hi = np.maximum(at - AROUND, w.first[row[at]]), np.minimum(at + AROUND, w.first[row[at] + 1])

@@ -72,6 +72,53 @@ def test_decontamination_of_nothing(spark):
     assert D.remove_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_every_convincing_overlap_meets_a_mask():
+    """The best identity surplus (+1, -3) of strings that meet no mask, by their last 11 tokens and equal tokens up to LEAST."""
+    import numpy as np
+
+    assert D.IDENTITY == 0.75
+    size, none = 1 << 11, -1000
+    windows = np.arange(2 * size)
+    met = np.zeros(2 * size, bool)
+    for mask in D.MASKS:
+        read = sum(1 << p for p in mask)
+        met |= windows & read == read
+    best = np.full((D.LEAST + 1, size), none)
+    best[0, 0] = 0
+    for _ in range(500):
+        new = best.copy()
+        for bit in (0, 1):
+            to = np.arange(size) << 1 | bit
+            for n in range(D.LEAST + 1):
+                np.maximum.at(new[min(D.LEAST, n + bit)], (to & (size - 1))[~met[to]], best[n][~met[to]] + (1 if bit else -3))
+        new[new < -100] = none
+        assert (new[D.LEAST] < 0).all()
+        if (new == best).all():
+            return
+        best = new
+    raise AssertionError("no fixpoint")
+
+
+@pytest.mark.parametrize("limit", [D.BROADCAST_HASHES, 0])
+def test_short_runs_and_substitutions(spark, limit):
+    r = random.Random(5)
+    items = [(k, words(20 if k % 2 else 40, 500 + k)) for k in range(6)] + [(6, words(9, 600)), (7, words(11, 601))]
+    token, rows = dict(items), []
+    for n in range(240):
+        k = n % 8
+        size = min(len(token[k]), (9, 10, 11, 12, 15, 20)[n % 6])
+        at = r.randrange(len(token[k]) - size + 1)
+        part = token[k][at : at + size]
+        for p in r.sample(range(size), n // 8 % (size // 4 + 1)):
+            part[p] = "other"
+        rows.append((n, words(r.randrange(5), n) + part + words(r.randrange(5), 900 + n)))
+    docs = frame(spark, [(n, " ".join(t), "s") for n, t in rows])
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): (x.matched, x.span) for x in D.find_contamination(docs, bench, limit).collect()}
+    want = {(n, k): overlaps(t, i) for n, t in rows for k, i in items}
+    assert got == {pair: x for pair, x in want.items() if x[0]} and len(got) > 150
+
+
 # --- line dedup ------------------------------------------------------------------------------------------------
 
 
