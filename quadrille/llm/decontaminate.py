@@ -4,13 +4,14 @@ Fixed masks over at most 12 tokens each ignore some positions, so a window with
 a mask whose positions it left alone. The masks lose nothing: every segment with at least LEAST tokens in common
 at an identity of IDENTITY meets one of them, wherever its substitutions stand (a test goes through all strings of
 equal and unequal tokens with an automaton). Hashes of benchmark windows under each mask are joined with those of the
-training texts; each hit gives a diagonal between a text and an item, and the overlap along it is verified:
-the segment of best score (a match +1, a substitution -SUBSTITUTION) must hold at least LEAST tokens in common
-at an identity of IDENTITY.
+training texts; each hit gives a diagonal between a text and an item, and the whole overlap along it is verified:
+some segment must hold at least LEAST tokens in common at an identity of IDENTITY. ``matched`` and ``span`` are
+those of the segment with the most tokens in common, the shortest of such.
 
 Up to BROADCAST_HASHES window hashes the benchmark's sorted hash table is broadcast and the join happens in the
-scan of the texts; beyond that, texts only meet a bitmap of the benchmark's hashes (2 MB at any size), the
-hits carry their surroundings, and Spark joins them with the benchmark by hash, its side salted.
+scan of the texts; beyond that, texts only meet a bitmap of the benchmark's hashes (sized by their number, 32 MB at
+most), Spark joins the hits with the benchmark by hash, its side salted, and each distinct diagonal then meets the
+item's and the text's tokens. Both ways give the same rows.
 
 Defined results: tokens are runs of letters and digits, lower-cased; items with fewer than LEAST tokens, null or
 empty ones match nothing; null, empty or short texts are
@@ -28,14 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.tables import FILTER_BITS, bucket_of, in_filter, slot_filter
+from quadrille.llm.tables import FILTER_BITS, bucket_of, checkpointed, in_filter, slot_filter
 from quadrille.llm.words import ALNUM, Words, mix, slices, windows
 
 #: Positions that each mask reads of a window.
 MASKS = [(0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 3, 6, 7), (0, 1, 3, 10, 11)]
-LEAST, IDENTITY, SUBSTITUTION = 9, 0.75, 2
+LEAST, IDENTITY = 9, 0.75
 BROADCAST_HASHES = 2_000_000
-SALTS, AROUND = 16, 96
+SALTS = 16
+#: A bitmap in the shuffle has at least 16 bits a hash, up to 2**28 in all; a byte table at least 16 slots, up to 2**25.
+BITS_PER_HASH, MOST_BITS, LEAST_SLOTS, MOST_SLOTS = 16, 28, 22, 25
 
 PAIR = "doc_id bigint, item_id bigint, matched bigint, span bigint"
 
@@ -52,13 +55,18 @@ def seeds(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(equal tokens, length) of the best-scoring segment of two token runs laid side by side."""
-    equal = a == b
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -SUBSTITUTION))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[0])
-    return int(equal[start:end].sum()), end - start
+    """(equal tokens, length) of the convincing segment with most equal tokens, the shortest of such, of two token
+    runs laid side by side; (0, 0) if none is convincing."""
+    at = np.flatnonzero(a == b)
+    if len(at) < LEAST:
+        return 0, 0
+    nth = np.arange(len(at))
+    before, after = nth - IDENTITY * at, nth + 1 - IDENTITY * (at + 1)
+    ahead = np.maximum.accumulate(after[::-1])  # from the end, so it rises
+    last = len(at) - 1 - np.searchsorted(ahead, before)  # the last equal token that a segment from each can end with
+    matched, span = last - nth + 1, at[last] - at + 1
+    k = np.lexsort((span, -matched))[0]
+    return (int(matched[k]), int(span[k])) if matched[k] >= LEAST else (0, 0)
 
 
 def convincing(matched: int, span: int) -> bool:
@@ -85,8 +93,8 @@ class Index:
             words = self.words[self.first[item] : self.first[item + 1]]
             s, e = max(0, -diagonal), min(len(words), len(hashes) - diagonal)
             got = overlap(hashes[s + diagonal : e + diagonal], words[s:e])
-            if convincing(*got) and got > found.get(item, (0, 0)):
-                found[item] = got
+            if convincing(*got):
+                found[item] = max(got, found.get(item, (0, 0)), key=lambda x: (x[0], -x[1]))
         return [(int(self.ids[i]), m, n) for i, (m, n) in found.items()]
 
 
@@ -121,10 +129,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, broadcast_hashes:
     items = bench_items(benchmark)
     size = items.agg(F.sum(F.size("words"))).first()[0] or 0
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    pairs = _by_broadcast(texts, items) if size * len(MASKS) <= broadcast_hashes else _by_shuffle(texts, items)
+    pairs = _by_broadcast(texts, items) if size * len(MASKS) <= broadcast_hashes else _by_shuffle(texts, items, _bits(size * len(MASKS), FILTER_BITS, MOST_BITS))
     return pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("span")).alias("less"))).alias("best")).select("doc_id", "item_id", F.col("best.matched").alias("matched"), (-F.col("best.less")).alias("span"))
 
 
+def _bits(hashes: int, least: int, most: int) -> int:
+    """log2 of the slots of a filter of so many hashes."""
+    return min(most, max(least, (BITS_PER_HASH * hashes - 1).bit_length()))
+
+
 def _by_broadcast(texts: DataFrame, items: DataFrame) -> DataFrame:
     rows = items.toArrow()  # at most broadcast_hashes / masks tokens
     ids = rows.column("item_id").to_numpy()
@@ -138,14 +151,15 @@ def _by_broadcast(texts: DataFrame, items: DataFrame) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value)
         # one byte per slot of the hashes' upper bits, to pass over most windows at little cost
-        slots = np.zeros(1 << 22, bool)
-        slots[(index.hashes >> np.uint64(42)).astype(np.int64)] = True
+        bits = _bits(len(index.hashes), LEAST_SLOTS, MOST_SLOTS)
+        slots, drop = np.zeros(1 << bits, bool), np.uint64(64 - bits)
+        slots[(index.hashes >> drop).astype(np.int64)] = True
         for batch in batches:
             for part in slices(batch):
                 w = tokens(part.column("text"))
                 row, near = w.row, np.zeros(len(w.hashes), bool)
                 for span, h in seeds(w.hashes):
-                    near[: len(h)] |= slots[(h >> np.uint64(42)).astype(np.int64)] & (row[: len(h)] == row[span - 1 :][: len(h)])
+                    near[: len(h)] |= slots[(h >> drop).astype(np.int64)] & (row[: len(h)] == row[span - 1 :][: len(h)])
                 out = []
                 ids_ = part.column("doc_id").to_pylist()
                 for r in np.unique(row[near]).tolist():
@@ -156,48 +170,55 @@ def _by_broadcast(texts: DataFrame, items: DataFrame) -> DataFrame:
     return texts.mapInArrow(search, PAIR)
 
 
-def _by_shuffle(texts: DataFrame, items: DataFrame) -> DataFrame:
+def _by_shuffle(texts: DataFrame, items: DataFrame, filter_bits: int) -> DataFrame:
+    texts = texts.withColumn("t", F.xxhash64("text"))
+    items = items.withColumn("k", F.xxhash64("words"))
+
     def bench(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, words in zip(batch.column("item_id").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                words = np.asarray(words, np.int64).view(np.uint64)
-                hashes, _, places = _bench_seeds(np.array([i]), [words])
-                lo, hi = np.maximum(places - AROUND, 0), np.minimum(places + AROUND, len(words))
-                near = pa.array([words[a:b].view(np.int64) for a, b in zip(lo, hi, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(hashes), i)), pa.array((places - lo).astype(np.int64)), near], ["h", "item_id", "q", "their"])
+            for i, words, k in zip(*[batch.column(c).to_pylist() for c in ("item_id", "words", "k")], strict=True):
+                hashes, _, places = _bench_seeds(np.array([i]), [np.asarray(words, np.int64).view(np.uint64)])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(hashes), i)), pa.array(np.full(len(hashes), k)), pa.array(places)], ["h", "item_id", "k", "q"])
 
-    seeded = items.mapInArrow(bench, "h bigint, item_id bigint, q bigint, their array<bigint>")
-    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    bits = texts.sparkSession.sparkContext.broadcast(slot_filter(seeded.select(slot.alias("slot"))))
+    seeded = items.mapInArrow(bench, "h bigint, item_id bigint, k bigint, q bigint")
+    slot = F.shiftrightunsigned("h", 64 - filter_bits)
+    bits = texts.sparkSession.sparkContext.broadcast(slot_filter(seeded.select(slot.alias("slot")), filter_bits))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                w, ids_ = tokens(part.column("text")), part.column("doc_id").to_numpy()
+                w, ids_, t = tokens(part.column("text")), part.column("doc_id").to_numpy(), part.column("t").to_numpy()
                 row = w.row
                 for span, h in seeds(w.hashes):
-                    ok = in_filter(bits.value, h >> np.uint64(64 - FILTER_BITS)) & (row[: len(h)] == row[span - 1 :][: len(h)])
-                    at = np.flatnonzero(ok)
-                    lo, hi = np.maximum(at - AROUND, w.first[row[at]]), np.minimum(at + AROUND, w.first[row[at] + 1])
-                    near = pa.array([w.hashes[a:b].view(np.int64) for a, b in zip(lo, hi, strict=True)], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids_[row[at]]), pa.array((at - lo).astype(np.int64)), near], ["h", "doc_id", "p", "our"])
+                    at = np.flatnonzero(in_filter(bits.value, h >> np.uint64(64 - filter_bits)) & (row[: len(h)] == row[span - 1 :][: len(h)]))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids_[row[at]]), pa.array(t[row[at]]), pa.array(at - w.first[row[at]])], ["h", "doc_id", "t", "p"])
 
-    found = texts.mapInArrow(hits, "h bigint, doc_id bigint, p bigint, our array<bigint>").withColumn("salt", bucket_of(F.col("doc_id"), 1, SALTS))
+    found = texts.mapInArrow(hits, "h bigint, doc_id bigint, t bigint, p bigint").withColumn("salt", bucket_of(F.struct("doc_id", "t"), 1, SALTS))
     salted = seeded.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    met = found.join(salted, ["h", "salt"]).select("doc_id", "item_id", "p", "q", "our", "their")
+    met = checkpointed(found.join(salted, ["h", "salt"]).select("doc_id", "t", "item_id", "k", (F.col("p") - F.col("q")).alias("diagonal")).distinct())
+    # each text once, ahead of its diagonals; a task holds the tokens of one text at a time
+    pairs = met.join(items.dropDuplicates(["item_id", "k"]), ["item_id", "k"]).select("doc_id", "t", "item_id", "diagonal", "words", F.lit(None).cast("string").alias("text"))
+    whole = texts.join(met.select("doc_id", "t").distinct(), ["doc_id", "t"], "left_semi").select("doc_id", "t", F.lit(None).cast("bigint").alias("item_id"), F.lit(None).cast("bigint").alias("diagonal"), F.lit(None).cast("array<bigint>").alias("words"), "text")
+    together = whole.unionAll(pairs).repartition("doc_id", "t").sortWithinPartitions("doc_id", "t", F.col("item_id").asc_nulls_first())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ours = np.zeros(0, np.uint64)
         for batch in batches:
             out = []
-            for d, i, p, q, our, their in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                back, ahead = min(p, q), min(len(our) - p, len(their) - q)
-                got = overlap(np.array(our[p - back : p + ahead]), np.array(their[q - back : q + ahead]))
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonal", "words")]
+            for r, (d, i, diagonal, words) in enumerate(zip(*columns, strict=True)):
+                if i is None:
+                    ours = tokens(batch.column("text").slice(r, 1)).hashes
+                    continue
+                theirs = np.asarray(words, np.int64).view(np.uint64)
+                s, e = max(0, -diagonal), min(len(theirs), len(ours) - diagonal)
+                got = overlap(ours[s + diagonal : e + diagonal], theirs[s:e])
                 if convincing(*got):
                     out.append((d, i, *got))
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "item_id", "matched", "span"])
 
-    return met.mapInArrow(verify, PAIR)
+    return together.mapInArrow(verify, PAIR)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

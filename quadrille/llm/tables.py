@@ -32,8 +32,8 @@ def id_slots(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_BITS)
 
 
-def slot_filter(slots: DataFrame) -> np.ndarray:
-    """A bitmap of the column ``slot``: 2 MB whatever the number of rows, so it may be broadcast.
+def slot_filter(slots: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the column ``slot`` with 2**bits bits (2 MB by default) whatever the number of rows, so it may be broadcast.
 
     It only spares work: whoever uses it joins the exact keys afterwards.
     """
@@ -42,11 +42,11 @@ def slot_filter(slots: DataFrame) -> np.ndarray:
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
         .collect()
     )
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    out = np.zeros((1 << bits) // 8, np.uint8)
     for row in parts:
         at = (row.part - 1) * 4096
-        bits = np.frombuffer(bytes(row.bits), np.uint8)[: len(out) - at] if at < len(out) else np.zeros(0, np.uint8)
-        out[at : at + len(bits)] |= bits
+        part = np.frombuffer(bytes(row.bits), np.uint8)[: len(out) - at] if at < len(out) else np.zeros(0, np.uint8)
+        out[at : at + len(part)] |= part
     return out
 
 

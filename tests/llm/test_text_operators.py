@@ -119,6 +119,32 @@ def test_short_runs_and_substitutions(spark, limit):
     assert got == {pair: x for pair, x in want.items() if x[0]} and len(got) > 150
 
 
+def test_overlap_judges_every_segment():
+    import numpy as np
+
+    r = random.Random(3)
+    for n in range(400):
+        same = [r.random() < (0.6, 0.75, 0.9)[n % 3] for _ in range(r.randrange(1, 60))]
+        best = (0, 0)
+        for s in range(len(same)):
+            for e in range(s + 1, len(same) + 1):
+                m = sum(same[s:e])
+                if D.convincing(m, e - s):
+                    best = max(best, (m, e - s), key=lambda x: (x[0], -x[1]))
+        assert D.overlap(np.array(same), np.ones(len(same), bool)) == best
+
+
+def test_long_items_in_both_modes(spark):
+    item = words(500, 71)
+    loose = item[100:130] + [w if k % 10 < 7 else "other" for k, w in enumerate(item[130:430])]
+    rows = [(1, item), (2, words(50, 72) + item[20:350]), (3, loose), (4, item[:250] + ["gap"] + item[250:]), (5, words(400, 73)), (1, item[:100])]
+    docs = frame(spark, [(i, " ".join(t), "s") for i, t in rows])
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(words(300, 74) + item[:40])), (1, " ".join(words(30, 75)))], "item_id bigint, text string")
+    got, other = [{(x.doc_id, x.item_id): (x.matched, x.span) for x in D.find_contamination(docs, bench, limit).collect()} for limit in (D.BROADCAST_HASHES, 0)]
+    assert got == other
+    assert got[1, 1] == (500, 500) and got[2, 1] == (330, 330) and got[4, 1] == (250, 250) and (3, 1) in got and got[1, 2] == (40, 40) and not any(d == 5 for d, _ in got)
+
+
 # --- line dedup ------------------------------------------------------------------------------------------------
 
 
