@@ -4,7 +4,8 @@ A line's spread is the number of sites (``source``) that it stands on. HyperLogL
 per line hash, merge by aggregation. Lines whose estimate is clearly over ``min_sites`` are boilerplate, those
 clearly under it are not, and those within BAND standard errors get an exact distinct count. Boilerplate lines
 are removed wherever they stand, but for their first occurrence (smallest doc_id, then place), so that no
-content leaves the corpus altogether. Whole copies of a text count once (as its smallest doc_id's site): copies
+content leaves the corpus altogether. Whole copies of a text count once (as the site of the smallest doc_id that
+has one): copies
 are the near-duplicate operator's business and don't make a line boilerplate. Texts meet no shuffle but the one
 that brings removals to their documents.
 
@@ -35,7 +36,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(line) hashes on at least ``min_sites`` sites, of ``line_table`` rows."""
-    texts = lines.groupBy("t1", "t2").agg(F.min_by("site", F.coalesce("doc_id", F.lit(2**62))).alias("site"), F.first("lines").alias("lines"))
+    texts = lines.groupBy("t1", "t2").agg(F.min_by("site", F.when(F.col("site").isNotNull(), F.coalesce("doc_id", F.lit(2**62)))).alias("site"), F.first("lines").alias("lines"))
     spread = checkpointed(texts.where("site IS NOT NULL").select("site", F.explode(F.array_distinct("lines")).alias("line")).where("line IS NOT NULL").groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sites"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_sites).select("line", F.hll_sketch_estimate("sites").alias("sites")))
     margin = BAND * 1.04 / 2 ** (LG_K / 2) * min_sites
     near = spread.where(F.abs(F.col("sites") - min_sites) <= margin).select("line")

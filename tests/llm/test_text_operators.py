@@ -194,6 +194,20 @@ def test_line_dedup(spark):
     assert loose.where("doc_id = 1").select("text").distinct().count() == 1
 
 
+def test_copies_with_a_null_site(spark):
+    """A text counts by its smallest doc_id with a site, as in the SQL."""
+    import duckdb
+
+    rows = [(k, f"own {k}\nseen on six sites", None) for k in range(6)]
+    rows += [(20 + k, t, f"site{k}") for k, (_, t, _) in enumerate(rows)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in linededup.drop_boilerplate(frame(spark, rows)).collect()}
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+        want = {i: (n, m, t) for i, n, m, t in db.execute(linededup.OP10_SQL).fetchall()}
+    assert got == want and sum(n for _, n, _ in got.values()) == 11
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------
 
 
