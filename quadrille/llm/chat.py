@@ -8,11 +8,12 @@ one conversation is one output row, as its formatted text is one string.
 
 Template of a turn: ``<|turn|>role<|text|>content<|end|>``. Control strings inside roles and texts are escaped
 with a backslash (``<|`` as ``<\\|``, ``</s>`` as ``<\\/s>``, ``[INST]`` as ``[\\INST]``, a backslash as two), and
-``unescape`` takes it back exactly.
+``unescape`` takes it back exactly. A text part that starts with a character from inside a control string gets a
+backslash before it, unless it is the message's first part, so parts cannot put one together either.
 
 Defined results: null text or role is empty; null parts, or parts of an unknown type, give nothing; turns are
-ordered by turn, role, text, so ties have one order; repeated rows are turns of their own; rows with a null
-conv_id form one conversation; an empty table gives an empty result; other columns are ignored.
+ordered by turn, role, text, so ties have one order; repeated rows are turns of their own; a row with a null
+conv_id is a conversation of its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings that may not stand in a text: theirs is the first character, then a backslash, then the rest.
 CONTROL = ["<|", "<s>", "</s>", "[INST]", "[/INST]"]
+#: A text that could go on with a control string begun before it.
+INNER = "^[" + "".join("\\" + x if not x.isalnum() else x for x in sorted({x for c in CONTROL for x in c[1:]})) + "]"
 LOSS_ROLE = "assistant"
 #: Tokens that a part expands to: an image by patches of 14 x 14 pixels, audio by second, documents by page.
 PATCH, AUDIO_TOKENS_S, PAGE_TOKENS = 14, 25, 512
@@ -60,7 +63,9 @@ def visit(parts: Column) -> Column:
     def one(p: Column, i: Column) -> Column:
         kind = p["type"]
         known = F.coalesce(kind.isin("image", "audio", "document"), F.lit(False))
-        piece = F.when(kind == "text", escape(p["text"])).when(known, F.concat(F.lit("<|"), kind, F.lit(":"), i.cast("string"), F.lit("|>"))).otherwise(F.lit(""))
+        text = escape(p["text"])
+        apart = F.when((i > 0) & text.rlike(INNER), F.concat(F.lit("\\"), text)).otherwise(text)
+        piece = F.when(kind == "text", apart).when(known, F.concat(F.lit("<|"), kind, F.lit(":"), i.cast("string"), F.lit("|>"))).otherwise(F.lit(""))
         mark = F.when(known, F.struct(i.alias("part"), kind.alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
         return F.struct(piece.alias("piece"), mark.alias("mark"))
 
@@ -70,17 +75,20 @@ def visit(parts: Column) -> Column:
 def format_conversations(rows: DataFrame, parts: Column | None = None) -> DataFrame:
     """conv_id, formatted, turns (role, content as written, with escapes), loss_spans (start, length in code points of ``formatted``), attachments (turn, part, type, ref, tokens), n_attachment_tokens."""
     parts = text_parts(F.col("text")) if parts is None else parts
-    seen = rows.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), visit(parts).alias("seen"))
-    one = seen.select(
-        "conv_id",
-        F.struct(
-            F.col("turn"),
-            F.col("role"),
-            F.array_join(F.transform("seen", lambda s: s["piece"]), "").alias("content"),
-            F.filter(F.transform("seen", lambda s: s["mark"]), lambda m: m.isNotNull()).alias("marks"),
-        ).alias("t"),
-    )
-    turns = one.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    said = rows.select("conv_id", F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), parts.alias("parts")).alias("t"))
+    together = said.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.collect_list("t").alias("ts")).unionAll(said.where("conv_id IS NULL").select("conv_id", F.array("t").alias("ts")))
+
+    def told(t: Column) -> Column:
+        seen, texts = visit(t["parts"]), F.filter(t["parts"], lambda p: p["type"] == "text")
+        return F.struct(
+            t["turn"].alias("turn"),
+            t["role"].alias("role"),
+            F.array_join(F.transform(texts, lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("text"),
+            F.array_join(F.transform(seen, lambda s: s["piece"]), "").alias("content"),
+            F.filter(F.transform(seen, lambda s: s["mark"]), lambda m: m.isNotNull()).alias("marks"),
+        )
+
+    turns = together.select("conv_id", F.sort_array(F.transform("ts", told)).alias("ts"))
     pieces = turns.withColumn("pieces", F.transform("ts", lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT), t["content"], F.lit(END))))
     # where each turn's content starts: the lengths of the turns before it, and its own head
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
@@ -107,7 +115,7 @@ def read_turns(formatted: Column) -> Column:
 
     def turn(s: Column) -> Column:
         sides = F.split(s, r"<\|text\|>", 2)
-        return F.struct(unescape(sides[0]).alias("role"), unescape(F.regexp_replace(sides[1], r"<\|end\|>$", "")).alias("text"))
+        return F.struct(unescape(sides[0]).alias("role"), unescape(F.regexp_replace(F.get(sides, F.lit(1)), r"<\|end\|>\z", "")).alias("text"))
 
     return F.transform(turns, turn)
 
@@ -143,12 +151,12 @@ def _escaped_sql(x: str) -> str:
 
 OP4_SQL = f"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]')
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum({len(TURN) + len(TEXT) + len(END)} + length({_escaped_sql('role')}) + length({_escaped_sql('text')}))::BIGINT AS formatted_chars
-FROM t GROUP BY conv_id
+FROM t GROUP BY conv_id, own
 """
