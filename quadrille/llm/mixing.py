@@ -5,6 +5,10 @@ number of copies is the inverse Poisson distribution function, with that rate as
 hashed from the seed and the document's id; its copies go to hashed places of a global shuffle. Only
 DataFrame functions run.
 
+The distribution function of a rate is summed over the counts within DEVIATIONS standard deviations around it (the
+rest is far below the numbers' resolution), from probabilities in closed form; so a rate of a million costs some
+thousand values, and a row looks through fewer values than it gives copies.
+
 Defined results: a null source is a source of its own, and so is one that ``weights`` does not name (weight
 ``default_weight``); sources without rows take no part; repeated rows with one id draw the same number of
 copies; a null id draws as the empty id; null or empty texts are documents like others; an empty table gives
@@ -13,12 +17,17 @@ an empty result; columns named like ours (``copy``, ``shuffle_key``) are replace
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from math import pi
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.llm.tables import checkpointed
+
 NULL_SOURCE = "\x00null"
-#: Sources beyond this number are joined by a shuffle; up to it, one row per source is broadcast.
-BROADCAST_SOURCES = 10_000
+#: Values of all distribution functions up to which they are broadcast (16 MB); beyond, they are joined by a shuffle.
+BROADCAST_VALUES = 2_000_000
+DEVIATIONS, BLOCK = 12, 4096
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -27,34 +36,50 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(2.0**52)
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The distribution function of Poisson(rate) at 0, 1, 2, ... to far in its tail, as an array."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    log_rate = F.log(F.greatest(rate, F.lit(1e-300)))
-    start = F.struct(F.lit(0.0).alias("lf"), F.lit(0.0).alias("cdf"), F.array().cast("array<double>").alias("all"))
+def poisson_mass(k: Column, rate: Column) -> Column:
+    """The Poisson probability of ``k``: by factorials up to 20, beyond that by the saddle point and Stirling's series, which lose no digits near the rate."""
+    x, d = k.cast("double"), (k - rate) / rate
+    small = F.exp(x * F.log(F.greatest(rate, F.lit(1e-300))) - rate - F.log(F.factorial(F.least(k, F.lit(20)).cast("int")).cast("double")))
+    series = F.lit(1 / 12) / x - F.lit(1 / 360) / x**3 + F.lit(1 / 1260) / x**5 - F.lit(1 / 1680) / x**7
+    distance = rate * ((1 + d) * F.log1p(d) - d)
+    return F.when(rate == 0, (k == 0).cast("double")).when(k <= 20, small).otherwise(F.exp(-series - distance) / F.sqrt(x * (2 * pi)))
 
-    def step(acc: Column, k: Column) -> Column:
-        log_factorial = acc["lf"] + F.when(k > 0, F.log(F.greatest(k, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
-        cdf = acc["cdf"] + F.exp(k * log_rate - rate - log_factorial)
-        return F.struct(log_factorial.alias("lf"), cdf.alias("cdf"), F.concat(acc["all"], F.array(cdf)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(0), last), start, step)["all"]
+def poisson_table(rates: DataFrame) -> DataFrame:
+    """``rates`` (mix_source, rate) with ``least`` and ``steps``: the distribution function at least, least + 1, ..."""
+    reach = F.lit(float(DEVIATIONS)) * F.sqrt("rate") + 20
+    counts = rates.select("mix_source", "rate", F.explode(F.sequence(F.greatest(F.floor(F.col("rate") - reach), F.lit(0)), F.ceil(F.col("rate") + reach))).alias("k"))
+    grown = Window.partitionBy("mix_source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.select("mix_source", "k", F.sum(poisson_mass(F.col("k"), F.col("rate"))).over(grown).alias("cdf"))
+    # the sums rise with k, but for equal ones at the end, whose order is nothing
+    return summed.groupBy("mix_source").agg(F.min("k").alias("least"), F.sort_array(F.collect_list("cdf")).alias("steps"))
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None, default_weight: float = 1.0, budget: float = 1.0) -> tuple[DataFrame, int]:
-    """One row per source: ``mix_source``, rows, target share, repetition rate (``budget`` x rows in all) and its distribution function; and the number of sources."""
-    counts = docs.groupBy(F.coalesce(F.col("source"), F.lit(NULL_SOURCE)).alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
+def source_rates(docs: DataFrame, weights: dict[str, float] | None, default_weight: float = 1.0, budget: float = 1.0) -> tuple[DataFrame, int, float]:
+    """One row per source: ``mix_source``, rows, target share, repetition rate (``budget`` x rows in all); the values that their distribution functions take; and the largest rate."""
+    counts = checkpointed(docs.groupBy(F.coalesce(F.col("source"), F.lit(NULL_SOURCE)).alias("mix_source")).agg(F.count(F.lit(1)).alias("n")))
     weight = F.lit(float(default_weight))
     for name, w in (weights or {}).items():
         weight = F.when(F.col("mix_source") == F.lit(NULL_SOURCE if name is None else name), F.lit(float(w))).otherwise(weight)
-    total = counts.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(weight).alias("w")).first()
+    total = counts.agg(F.sum("n").alias("n"), F.sum(weight).alias("w")).first()
     share = weight / F.lit(total.w) if total.w else F.lit(0.0)
-    rates = (
-        counts.withColumn("share", share)
-        .withColumn("rate", F.col("share") * F.lit(float(budget)) * F.lit(float(total.n or 0)) / F.col("n"))
-        .select("mix_source", "n", "share", "rate", poisson_steps(F.col("rate")).alias("steps"))
-    )
-    return rates, total.k
+    rates = counts.withColumn("share", share).withColumn("rate", F.col("share") * F.lit(float(budget)) * F.lit(float(total.n or 0)) / F.col("n"))
+    size = rates.agg(F.sum(2 * DEVIATIONS * F.sqrt("rate") + 40).alias("values"), F.max("rate").alias("rate")).first()
+    return rates, int(size["values"] or 0), size.rate or 0.0
+
+
+def drawn_copies(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, budget: float = 1.0, seed: str = "mix-1") -> DataFrame:
+    """``docs`` with ``mix_copies``, the number of copies drawn for each row."""
+    rates, values, _ = source_rates(docs, weights, default_weight, budget)
+    return _drawn(docs, rates, values, seed)
+
+
+def _drawn(docs: DataFrame, rates: DataFrame, values: int, seed: str) -> DataFrame:
+    table = poisson_table(rates)
+    keyed = docs.withColumn("mix_source", F.coalesce(F.col("source"), F.lit(NULL_SOURCE))).withColumn("mix_u", uniform(F.lit(seed), F.col("doc_id")))
+    drawn = keyed.join(F.broadcast(table) if values <= BROADCAST_VALUES else table, "mix_source")
+    copies = F.col("least") + F.size(F.filter("steps", lambda c: c <= F.col("mix_u")))
+    return drawn.withColumn("mix_copies", copies.cast("bigint")).drop("least", "steps", "mix_u", "mix_source")
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, budget: float = 1.0, seed: str = "mix-1") -> DataFrame:
@@ -64,19 +89,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, defaul
     uniform permutation for the price of one exchange.
     """
     docs = docs.drop("copy", "shuffle_key")
-    rates, sources = source_rates(docs, weights, default_weight, budget)
-    rates = rates.select("mix_source", "steps")
-    keyed = docs.withColumn("mix_source", F.coalesce(F.col("source"), F.lit(NULL_SOURCE)))
-    u = uniform(F.lit(seed), F.col("doc_id"))
-    drawn = keyed.join(F.broadcast(rates) if sources <= BROADCAST_SOURCES else rates, "mix_source").withColumn("mix_u", u)
-    copies = F.size(F.filter("steps", lambda c: c <= F.col("mix_u")))
-    exploded = (
-        drawn.withColumn("mix_copies", copies)
-        .where("mix_copies > 0")
-        .drop("steps", "mix_u", "mix_source")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mix_copies").cast("bigint") - 1)))
-        .drop("mix_copies")
-    )
+    rates, values, largest = source_rates(docs, weights, default_weight, budget)
+    drawn = _drawn(docs, rates, values, seed).where("mix_copies > 0")
+    # in blocks, so that no row holds all its copies at once; those of rare sources are dealt out before they are made
+    blocks = drawn.withColumn("mix_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("mix_copies") - 1) / BLOCK))))
+    if largest > BLOCK:
+        blocks = blocks.repartition("doc_id", "mix_block")
+    place = F.col("mix_block") * BLOCK
+    exploded = blocks.withColumn("copy", F.explode(F.sequence(place, F.least(place + BLOCK, F.col("mix_copies")) - 1))).drop("mix_copies", "mix_block")
     spread = exploded.withColumn("shuffle_key", uniform(F.lit(seed), F.lit("place"), F.col("doc_id"), F.col("copy")))
     return spread.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key").select(*docs.columns, "copy", "shuffle_key")
 
@@ -87,16 +107,15 @@ def op2_poisson_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH RECURSIVE counts AS (SELECT coalesce(source, chr(1) || 'null') AS mix_source, count(*) AS n FROM documents GROUP BY 1),
+WITH counts AS (SELECT coalesce(source, chr(1) || 'null') AS mix_source, count(*) AS n FROM documents GROUP BY 1),
 rates AS (SELECT mix_source, (1.0::DOUBLE / (SELECT sum(1.0::DOUBLE) FROM counts)) * 1.0::DOUBLE * (SELECT sum(n) FROM counts)::DOUBLE / n AS rate FROM counts),
-steps(mix_source, rate, k, lf, cdf) AS (
-  SELECT mix_source, rate, 0, 0.0::DOUBLE, exp(-rate) FROM rates
-  UNION ALL
-  SELECT mix_source, rate, k + 1, lf + ln((k + 1)::DOUBLE), cdf + exp((k + 1) * ln(rate) - rate - (lf + ln((k + 1)::DOUBLE)))
-  FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
+ks AS (SELECT mix_source, rate, unnest(range(greatest(floor(rate - 12 * sqrt(rate) - 20), 0)::BIGINT, ceil(rate + 12 * sqrt(rate) + 20)::BIGINT + 1)) AS k FROM rates),
+sums AS (SELECT mix_source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY mix_source ORDER BY k ROWS UNBOUNDED PRECEDING) AS cdf FROM ks),
+steps AS (SELECT mix_source, min(k) AS least, list(cdf ORDER BY k) AS cdfs FROM sums GROUP BY mix_source),
 drawn AS (SELECT d.doc_id, d.source, d.text, coalesce(d.source, chr(1) || 'null') AS mix_source,
-  ('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM documents d)
-SELECT d.doc_id, d.source, d.text, s.k::BIGINT AS copy,
-  ('0x' || substr(md5('mix-1|place|' || coalesce(d.doc_id::VARCHAR, '') || '|' || s.k::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS shuffle_key
-FROM drawn d JOIN steps s ON s.mix_source = d.mix_source AND s.cdf <= d.u
+  ('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM documents d),
+copies AS (SELECT d.doc_id, d.source, d.text, unnest(range(least + len(list_filter(cdfs, lambda c: c <= u)))) AS copy FROM drawn d JOIN steps s ON s.mix_source = d.mix_source)
+SELECT doc_id, source, text, copy::BIGINT AS copy,
+  ('0x' || substr(md5('mix-1|place|' || coalesce(doc_id::VARCHAR, '') || '|' || copy::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS shuffle_key
+FROM copies
 """

@@ -148,17 +148,24 @@ def test_long_items_in_both_modes(spark):
 # --- line dedup ------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, least):
-    first = {}
-    for i, t, s in sorted(rows, key=lambda r: r[0]):
-        if t is not None:
-            first.setdefault(t, s)
+def brute_lines(rows, least, spare_copies=False):
+    """Sites over all documents; the first occurrence of a boilerplate line stays (in all copies of its text, if asked)."""
     sites = defaultdict(set)
-    for t, s in first.items():
-        for line in t.split("\n"):
+    for _, t, s in rows:
+        for line in (t or "").split("\n"):
             if line.strip(" ") and s is not None:
                 sites[line.strip(" ")].add(s)
     common = {k for k, v in sites.items() if len(v) >= least}
+    if spare_copies:
+        first, out = {}, {}
+        for i, t, _ in sorted(rows, key=lambda r: r[0]):
+            for at, line in enumerate((t or "").split("\n")):
+                first.setdefault(line.strip(" "), (t, at))
+        for i, t, _ in rows:
+            kept = [line for at, line in enumerate((t or "").split("\n")) if line.strip(" ") not in common or first[line.strip(" ")] == (t, at)]
+            n = len(t.split("\n")) if t is not None else 0
+            out[i] = (n, n - len(kept) if n else 0, "\n".join(kept) if n else None)
+        return out
     seen, out = set(), {}
     for i, t, _ in sorted(rows, key=lambda r: r[0]):
         if t is None:
@@ -187,25 +194,44 @@ def test_line_dedup(spark):
     out = linededup.drop_boilerplate(docs)
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out.collect()}
     assert got == brute_lines(rows, linededup.MIN_SITES)
-    assert got[200][1] == 0 and got[1][1] == 1 or got[0][1] == 0
+    assert got[200] == (2, 0, "copied page\nof many sites") and all(got[200 + k] == (2, 2, "") for k in range(1, 15))
+    spared = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in linededup.drop_boilerplate(docs, spare_copies=True).collect()}
+    assert spared == brute_lines(rows, linededup.MIN_SITES, True) and all(spared[200 + k][1] == 0 for k in range(15))
     assert linededup.drop_boilerplate(docs.limit(0)).isEmpty()
     loose = linededup.drop_boilerplate(frame(spark, [(None, "All rights reserved.", "z"), *rows, (1, rows[1][1], rows[1][2])]))
     assert loose.where("doc_id IS NULL").first().text == "All rights reserved."
     assert loose.where("doc_id = 1").select("text").distinct().count() == 1
 
 
-def test_copies_with_a_null_site(spark):
-    """A text counts by its smallest doc_id with a site, as in the SQL."""
+def cleaned_by_sql(rows):
     import duckdb
 
-    rows = [(k, f"own {k}\nseen on six sites", None) for k in range(6)]
-    rows += [(20 + k, t, f"site{k}") for k, (_, t, _) in enumerate(rows)]
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in linededup.drop_boilerplate(frame(spark, rows)).collect()}
     with duckdb.connect() as db:
         db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
         db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
-        want = {i: (n, m, t) for i, n, m, t in db.execute(linededup.OP10_SQL).fetchall()}
-    assert got == want and sum(n for _, n, _ in got.values()) == 11
+        return {i: (n, m, t) for i, n, m, t in db.execute(linededup.OP10_SQL).fetchall()}
+
+
+def test_sites_count_over_all_documents(spark):
+    """Null sites are none, copies' sites count, also together with those of other texts."""
+    rows = [(k, f"own {k}\nseen on six sites", None) for k in range(6)]
+    rows += [(20 + k, t, f"site{k}") for k, (_, t, _) in enumerate(rows)]
+    rows += [(40 + k, "Accept all cookies\nSubscribe now", f"site{k}") for k in range(30)]
+    rows += [(80 + k, "a page\nthree and three", f"site{k}") for k in range(3)] + [(90 + k, f"other {k}\nthree and three", f"site{3 + k}") for k in range(3)]
+    rows += [(100 + k, f"lone {k}\nfive sites", f"site{k % 5}") for k in range(20)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in linededup.drop_boilerplate(frame(spark, rows)).collect()}
+    assert got == cleaned_by_sql(rows) == brute_lines(rows, linededup.MIN_SITES)
+    assert got[40][1] == 0 and all(got[40 + k] == (2, 2, "") for k in range(1, 30))
+    assert sum(n for _, n, _ in got.values()) == 11 + 58 + 5
+
+
+def test_many_lines_and_shuffled_joins(spark, monkeypatch):
+    """Long texts of common lines, and no broadcast at all."""
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", 0)
+    lines = [f"common {k}" for k in range(3000)]
+    rows = [(k, "\n".join(x for n, x in enumerate(lines + [f"own {k}"]) if (n + k) % 7), f"site{k}") for k in range(9)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in linededup.drop_boilerplate(frame(spark, rows)).collect()}
+    assert got == brute_lines(rows, linededup.MIN_SITES)
 
 
 # --- mixing ----------------------------------------------------------------------------------------------------
@@ -226,14 +252,44 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs, {"hot": 0.0}, default_weight=0.0).isEmpty()
 
 
-def test_poisson_inverse(spark):
-    rate = 3.7
-    u = spark.range(20000).select(mixing.uniform(F.lit("s"), F.col("id")).alias("u"), mixing.poisson_steps(F.lit(rate)).alias("steps"))
-    counts = [r.c for r in u.select(F.size(F.filter("steps", lambda c: c <= F.col("u"))).alias("c")).collect()]
-    mean = sum(counts) / len(counts)
-    assert abs(mean - rate) < 0.06 and abs(sum((c - mean) ** 2 for c in counts) / len(counts) - rate) < 0.15
-    big = spark.range(1).select(mixing.poisson_steps(F.lit(2000.0))).first()[0]
-    assert abs(big[-1] - 1) < 1e-9 and abs(big[2000] - 0.5) < 0.02
+def poisson_counts(rate, us):
+    """The smallest k whose distribution function exceeds u, by the recurrence in Python."""
+    import math
+
+    out, k, log, cdf = [], 0, -rate, math.exp(-rate)
+    for u in sorted(us):
+        while cdf <= u:
+            k += 1
+            log += math.log(rate / k)
+            cdf += math.exp(log)
+        out.append(k)
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.01, 0.7, 3.7, 25.0, 400.0, 2000.0])
+def test_poisson_inverse(spark, rate):
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
+    us = {r.doc_id: r.u for r in docs.select("doc_id", mixing.uniform(F.lit("mix-1"), F.col("doc_id")).alias("u")).collect()}
+    drawn = mixing.drawn_copies(docs, budget=rate).select("doc_id", "mix_copies").collect()
+    got = [n for _, n in sorted((us[r.doc_id], r.mix_copies) for r in drawn)]
+    assert got == poisson_counts(rate, us.values())
+    mean = sum(got) / len(got)
+    assert abs(mean - rate) < 5 * (rate / len(got)) ** 0.5
+
+
+def test_rare_source(spark):
+    """A source of a few rows at a rate of a million: quick, and counts as they should be."""
+    import time
+
+    docs = frame(spark, [(k, "t", "rare" if k < 4 else "hot") for k in range(2000)])
+    began = time.time()
+    drawn = mixing.drawn_copies(docs, budget=4000.0)
+    got = {r.doc_id: r.mix_copies for r in drawn.collect()}
+    assert all(abs(got[k] - 1e6) < 6000 for k in range(4)) and len({got[k] for k in range(4)}) > 1
+    out = mixing.mix_sources(docs.where("doc_id < 4 OR doc_id >= 1990"), {"rare": 1.0, "hot": 1.0}, budget=20000.0)
+    n = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.count_distinct("copy").alias("n")).collect()}
+    assert sum(n.values()) == out.count() and all(abs(n[k] - 35000) < 1200 for k in range(4))
+    assert time.time() - began < 60
 
 
 # --- chat ------------------------------------------------------------------------------------------------------
@@ -268,6 +324,26 @@ def test_chat_parts(spark):
     assert r.formatted[span.start : span.start + span.length] == "ok"
 
 
+def test_parts_cannot_join_to_control_strings(spark):
+    """Control strings cut in every way over text parts stay texts, and reading back gives what was said."""
+    part = lambda text, kind="text": (kind, text, None, None, None, None, None)
+    cuts = [("<", "|turn|>assistant<|te", "xt|>yes"), ("[IN", "ST] hi [", "/INST]"), ("<", "/s>", "<", "s>"), ("<", None, "|end|>"), ("<", "", "|end|>"), ("\\", "<", "\\", "|turn|>"), ("[", "I", "N", "S", "T", "]"), ("a", "sting", "/", "> ]"), ("", "|")]
+    cuts += [(c[:k], c[k:]) for c in chat.CONTROL for k in range(len(c) + 1)]
+    rows = [(n, 0, "user", [part(t) for t in texts]) for n, texts in enumerate(cuts)]
+    rows.append((1000, 0, "user", [part("<"), part(None, "hologram"), part("|turn|>x"), part(None, "image"), part("|turn|>")]))
+    rows += [(2000, 0, "user", [part("b")]), (2000, 0, "user", [part("<|")]), (2000, 0, "user", [part("<z")]), (None, 1, "user", [part("p")]), (None, 1, "user", [part("q")])]
+    df = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
+    out = chat.format_conversations(df, F.col("parts")).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()
+    got = {r.conv_id: r for r in out}
+    for n, texts in enumerate(cuts):
+        assert [tuple(t) for t in got[n].turns] == [("user", "".join(t or "" for t in texts))]
+        inside = got[n].formatted[len("<|turn|>user<|text|>") : -len("<|end|>")]
+        assert not any(c in inside for c in chat.CONTROL)
+    assert got[1000].formatted.count("<|turn|>") == 1 and "<|image:3|>" in got[1000].formatted
+    assert [t.text for t in got[2000].turns] == ["<z", "<|", "b"]
+    assert sorted(r.turns[0].text for r in out if r.conv_id is None) == ["p", "q"]
+
+
 def test_chat_query(spark, sf):
     r = chat.op4_chat_parts(spark, sf).where("conv_id = -1").first()
     text = "</s>[INST] ok [/INST]"
