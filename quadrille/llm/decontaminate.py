@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.tables import FILTER_BITS, bucket_of, checkpointed, in_filter, slot_filter
+from quadrille.llm.tables import FILTER_BITS, bucket_of, checkpointed, in_filter, slot_filter, without
 from quadrille.llm.words import ALNUM, Words, mix, slices, windows
 
 #: Positions that each mask reads of a window.
@@ -40,7 +40,7 @@ SALTS = 16
 #: A bitmap in the shuffle has at least 16 bits a hash, up to 2**28 in all; a byte table at least 16 slots, up to 2**25.
 BITS_PER_HASH, MOST_BITS, LEAST_SLOTS, MOST_SLOTS = 16, 28, 22, 25
 
-PAIR = "doc_id bigint, item_id bigint, matched bigint, span bigint"
+PAIR = "doc_id bigint, t bigint, item_id bigint, matched bigint, span bigint"
 
 
 def tokens(column: pa.Array) -> Words:
@@ -125,12 +125,17 @@ def _bench_seeds(ids: np.ndarray, lists: list[np.ndarray]):
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
-    """(doc_id, item_id, matched, span): every text and item with a convincing overlap."""
+    """(doc_id, item_id, matched, span): every document and item with a convincing overlap, the best of them."""
+    pairs = contaminated_texts(docs, benchmark, broadcast_hashes)
+    return pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("span")).alias("less"))).alias("best")).select("doc_id", "item_id", F.col("best.matched").alias("matched"), (-F.col("best.less")).alias("span"))
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+    """(doc_id, t, item_id, matched, span): every text, told by its id and its hash ``t``, and item with a convincing overlap."""
     items = bench_items(benchmark)
     size = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    pairs = _by_broadcast(texts, items) if size * len(MASKS) <= broadcast_hashes else _by_shuffle(texts, items, _bits(size * len(MASKS), FILTER_BITS, MOST_BITS))
-    return pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("span")).alias("less"))).alias("best")).select("doc_id", "item_id", F.col("best.matched").alias("matched"), (-F.col("best.less")).alias("span"))
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    return _by_broadcast(texts, items) if size * len(MASKS) <= broadcast_hashes else _by_shuffle(texts, items, _bits(size * len(MASKS), FILTER_BITS, MOST_BITS))
 
 
 def _bits(hashes: int, least: int, most: int) -> int:
@@ -161,17 +166,16 @@ def _by_broadcast(texts: DataFrame, items: DataFrame) -> DataFrame:
                 for span, h in seeds(w.hashes):
                     near[: len(h)] |= slots[(h >> drop).astype(np.int64)] & (row[: len(h)] == row[span - 1 :][: len(h)])
                 out = []
-                ids_ = part.column("doc_id").to_pylist()
+                ids_, t = part.column("doc_id"), part.column("t")
                 for r in np.unique(row[near]).tolist():
-                    out += [(ids_[r], *x) for x in index.search(w.hashes[w.first[r] : w.first[r + 1]], near[w.first[r] : w.first[r + 1]])]
-                columns = zip(*out, strict=True) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "item_id", "matched", "span"])
+                    out += [(ids_[r].as_py(), t[r].as_py(), *x) for x in index.search(w.hashes[w.first[r] : w.first[r + 1]], near[w.first[r] : w.first[r + 1]])]
+                columns = zip(*out, strict=True) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "t", "item_id", "matched", "span"])
 
     return texts.mapInArrow(search, PAIR)
 
 
 def _by_shuffle(texts: DataFrame, items: DataFrame, filter_bits: int) -> DataFrame:
-    texts = texts.withColumn("t", F.xxhash64("text"))
     items = items.withColumn("k", F.xxhash64("words"))
 
     def bench(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +209,8 @@ def _by_shuffle(texts: DataFrame, items: DataFrame, filter_bits: int) -> DataFra
         ours = np.zeros(0, np.uint64)
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonal", "words")]
-            for r, (d, i, diagonal, words) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "t", "item_id", "diagonal", "words")]
+            for r, (d, t, i, diagonal, words) in enumerate(zip(*columns, strict=True)):
                 if i is None:
                     ours = tokens(batch.column("text").slice(r, 1)).hashes
                     continue
@@ -214,17 +218,18 @@ def _by_shuffle(texts: DataFrame, items: DataFrame, filter_bits: int) -> DataFra
                 s, e = max(0, -diagonal), min(len(theirs), len(ours) - diagonal)
                 got = overlap(ours[s + diagonal : e + diagonal], theirs[s:e])
                 if convincing(*got):
-                    out.append((d, i, *got))
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "item_id", "matched", "span"])
+                    out.append((d, t, i, *got))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "t", "item_id", "matched", "span"])
 
     return together.mapInArrow(verify, PAIR)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the texts that share a convincing overlap with any item."""
-    hit = find_contamination(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text shares a convincing overlap with any item."""
+    hit = contaminated_texts(docs, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("t").alias("hit_text"))
+    keyed = docs.withColumns({"hit_id": F.col("doc_id").cast("bigint"), "hit_text": F.xxhash64("text")})
+    return without(keyed, hit, ["hit_id", "hit_text"]).select(*docs.columns)
 
 
 def op1_spaced_seeds(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quadrille.session import ensure_checkpoint_dir, read_table
 
-__all__ = ["read_table", "checkpointed", "shared_path", "id_slots", "slot_filter", "in_filter", "bucket_of"]
+__all__ = ["read_table", "checkpointed", "shared_path", "without", "id_slots", "slot_filter", "in_filter", "bucket_of"]
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -24,6 +24,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Keys up to which an anti-join broadcasts them (some 8 MB), so that the rows themselves are not shuffled.
+BROADCAST_KEYS = 250_000
+
+
+def without(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` whose key is not among ``keys``; rows with a null in the key stay."""
+    keys = checkpointed(keys.select(*by).distinct())
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, by, "left_anti")
+
+
 FILTER_BITS = 24
 
 
