@@ -18,8 +18,8 @@ def label_table(labels: DataFrame, column: str, usable: Column) -> DataFrame:
     return mean.where("mean != 0.5").select("doc_id", (F.col("mean") > 0.5).cast("int").alias("label"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, usable: Column, per_class: int, max_bytes: int) -> tuple[DataFrame, dict[int, int]]:
-    """Documents with ``label``: of each class the ``per_class`` ids of smallest hash, texts up to ``max_bytes``; and the labelled rows of each class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, usable: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """Documents with ``label``: of each class the ``per_class`` ids of smallest hash; and the labelled rows of each class.
 
     The ids are at most 2 x per_class, so they are broadcast.
     """
@@ -29,5 +29,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, usable: Col
     for label in (0, 1):
         some = table.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picks = some if picks is None else picks.unionAll(some)
-    # a pick whose text is missing or over the bound is lost to the fit only
-    return docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes).join(F.broadcast(picks), "doc_id"), counts
+    # a pick whose text is missing is lost to the fit only
+    return docs.join(F.broadcast(picks), "doc_id"), counts

@@ -24,8 +24,8 @@ from quadrille.llm.labelled import labelled_sample, remainder
 from quadrille.llm.words import WHITE, Words, slices
 
 WORD_BITS, BINS, RANK = 16, 10, 8
-#: Bound of the sample that the model is fitted on: rows of each class, and bytes of one text.
-PER_CLASS, SAMPLE_BYTES = 3000, 1 << 16
+#: Bound of the sample that the model is fitted on: rows of each class.
+PER_CLASS = 3000
 STATISTICS = ["bytes_log", "words_log", "word_bytes", "upper", "digit", "symbol", "punctuation", "pipe", "white", "distinct", "top_word", "adjacent", "line_words", "lines_log", "symbol_end", "n_chars_log"]
 SLOTS = (1 << WORD_BITS) + len(STATISTICS) * (BINS + 1)
 
@@ -147,7 +147,7 @@ def fit(rows: list, priors: dict[int, int], epochs: int = 12, size: int = 128, r
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine | None:
-    sample, priors = labelled_sample(docs.select("doc_id", "text", "n_chars"), labels, "quality", remainder(3) != 1, per_class, SAMPLE_BYTES)
+    sample, priors = labelled_sample(docs.select("doc_id", "text", "n_chars"), labels, "quality", remainder(3) != 1, per_class)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
