@@ -4,12 +4,14 @@ A word is three hashed embeddings side by side: two of the whole word (two table
 one is not enough) and one of its beginning, which inflected forms share. Filters of several widths slide over the words of the whole text, each keeps its largest response, and a
 logistic layer reads those. It is fitted on the driver on at most 2 x PER_CLASS labelled texts; the embeddings
 start from smoothed log odds of the words in that sample and are trained on, as are filters and output layer.
-Scoring is one pass over whole texts. ``threshold`` and ``flagged`` are calibrated by language on the sample's
-validation part; the score itself never sees the language.
+Scoring is one pass over whole texts. Labels whose crc32 remainder is CALIBRATES never reach the fit: all of them, at
+their true proportions, set the thresholds by language (``threshold``, ``flagged``), from counts of their scores in
+BINS intervals; the score itself never sees the language.
 
 Defined results: null, empty or wordless texts pool to zero and get the score of the bias; without labels of
-both classes every score is 0; an unknown or null language has the threshold over all; repeated rows are scored
-alike; an empty table gives an empty result; columns named like ours are not read.
+both classes every score is 0; a language, or null, with fewer than LEAST_LABELS calibrating rows of a class has the
+threshold over all, and that is 0.5 without such rows of both classes; repeated rows are scored alike; an empty table
+gives an empty result; columns named like ours are not read.
 """
 
 from __future__ import annotations
@@ -19,17 +21,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.labelled import labelled_sample, remainder
+from quadrille.llm.labelled import label_table, labelled_sample, remainder
+from quadrille.llm.tables import checkpointed
 from quadrille.llm.words import ALNUM, Words, slices
 
 TABLE_BITS, DIM, WIDTHS, FILTERS = 16, 4, (1, 2, 3), 8
 #: Bytes of a word's beginning.
 PREFIX, SIDES = 6, 3
-#: Bound of the sample that the model is fitted on: rows of each class, and bytes of one text.
-PER_CLASS, SAMPLE_BYTES = 2000, 1 << 15
+#: Bound of the sample that the model is fitted on: rows of each class.
+PER_CLASS = 2000
+#: Remainder of the rows that calibrate (0 is held out, the others are fitted on), score intervals, rows of a class that a language needs.
+CALIBRATES, BINS, LEAST_LABELS = 1, 4096, 10
+BROADCAST_LANGUAGES = 10_000
 #: Rows of a sampled class in which a word must stand for its log odds to count.
 LEAST_ROWS, SHRINK = 4, 4.0
 
@@ -153,52 +159,47 @@ def fit(texts: list[tuple[np.ndarray, ...]], y: np.ndarray, priors: dict[int, in
     return net
 
 
-def calibrate(scores: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of best F1; the middle between the scores on its sides."""
-    order = np.argsort(-scores, kind="stable")
-    s, hit = scores[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
-    k = int(np.argmax(f1))
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Network | None, dict]:
-    """The network and a threshold by language (None: over all), from rows whose crc32 mod 5 is not 0."""
-    sample, priors = labelled_sample(docs.select("doc_id", "text", "lang"), labels, "toxic", remainder(5) != 0, per_class, SAMPLE_BYTES)
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network | None:
+    """The network, from rows whose crc32 mod 5 is neither 0 nor CALIBRATES."""
+    sample, priors = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", ~remainder(5).isin(0, CALIBRATES), per_class)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 slots, bounds = tokens(part.column("text"))
                 cut = pa.array(bounds, pa.int32())
-                lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in slots]
-                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("lang"), part.column("part"), *lists], ["label", "lang", "part", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([part.column("label"), *(pa.ListArray.from_arrays(cut, pa.array(x)) for x in slots)], ["label", "a", "b", "c"])
 
-    rows = sample.select("label", "lang", remainder(5).cast("int").alias("part"), "text").mapInArrow(features, "label int, lang string, part int, a array<int>, b array<int>, c array<int>")
-    pdf = rows.toArrow().to_pandas()  # 2 x per_class rows at most
+    pdf = sample.select("label", "text").mapInArrow(features, "label int, a array<int>, b array<int>, c array<int>").toArrow().to_pandas()  # 2 x per_class rows at most
     y = pdf.label.to_numpy(float)
-    fits = (pdf.part != 1).to_numpy() if len(pdf) >= 400 else np.ones(len(pdf), bool)
-    if not 0 < y[fits].sum() < fits.sum():
-        return None, {None: 0.5}
-    texts = list(zip(pdf.a, pdf.b, pdf.c, strict=True))
-    net = fit([t for t, f in zip(texts, fits, strict=True) if f], y[fits], priors)
-    hold = ~fits if len(pdf) >= 400 else fits
-    scores = np.zeros(len(y))
-    for i in np.flatnonzero(hold):
-        z = net.pooled(texts[i], np.array([0, len(texts[i][0])])) @ net.out + net.out_bias
-        scores[i] = 1 / (1 + np.exp(-np.clip(float(z[0]), -30, 30)))
-    thresholds = {None: calibrate(scores[hold], y[hold]) if y[hold].any() else 0.5}
-    for lang in pdf.lang.dropna().unique():
-        here = hold & (pdf.lang == lang).to_numpy()
-        if y[here].sum() >= 10 and (1 - y[here]).sum() >= 10:
-            thresholds[lang] = calibrate(scores[here], y[here])
-    return net, thresholds
+    if not 0 < y.sum() < len(y):
+        return None
+    return fit(list(zip(pdf.a, pdf.b, pdf.c, strict=True)), y, priors)
+
+
+def best_thresholds(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, threshold, clean, toxic): the lower end of the interval from which flagging has the best F1, of (by, bin, label, n); the higher of equals."""
+    n = counts.groupBy(*by, "bin").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("hit"), F.sum("n").alias("all"))
+    above = Window.partitionBy(*by).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # BINS rows at most
+    whole = Window.partitionBy(*by)
+    f1 = 2 * F.sum("hit").over(above) / (F.sum("all").over(above) + F.sum("hit").over(whole))
+    rows = n.select(*by, "bin", "hit", "all", f1.alias("f1"))
+    found = rows.groupBy(*by).agg(F.max_by("bin", F.struct("f1", "bin")).alias("bin"), F.sum(F.col("all") - F.col("hit")).alias("clean"), F.sum("hit").alias("toxic"))
+    return found.select(*by, (F.col("bin") / BINS).alias("threshold"), "clean", "toxic")
+
+
+def calibrate(scored: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(lang, threshold) of languages with labels enough, and the threshold over all, from the calibrating rows of ``scored`` (doc_id, lang, score)."""
+    told = label_table(labels, "toxic", remainder(5) == CALIBRATES)
+    counts = checkpointed(scored.join(told, "doc_id").groupBy("lang", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin"), "label").agg(F.count(F.lit(1)).alias("n")))
+    every = best_thresholds(counts.withColumn("one", F.lit(1)), ["one"]).where("clean > 0 AND toxic > 0").first()
+    own = best_thresholds(counts.where("lang IS NOT NULL"), ["lang"]).where((F.col("clean") >= LEAST_LABELS) & (F.col("toxic") >= LEAST_LABELS))
+    return own.select("lang", "threshold"), every.threshold if every else 0.5
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted, threshold, flagged for every document."""
-    net, thresholds = train(docs, labels, per_class)
+    net = train(docs, labels, per_class)
     model = docs.sparkSession.sparkContext.broadcast(None if net is None else net.arrays())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,12 +210,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), part.column("lang"), pa.array(got)], ["doc_id", "held_out", "lang", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang", "text").mapInArrow(score, f"doc_id {kind}, held_out boolean, lang string, score double")
-    threshold = F.lit(thresholds[None])
-    for lang, t in thresholds.items():
-        if lang is not None:
-            threshold = F.when(F.col("lang") == lang, F.lit(t)).otherwise(threshold)
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), threshold.alias("threshold"), (F.col("score") >= threshold).cast("int").alias("flagged"))
+    scored = checkpointed(docs.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang", "text").mapInArrow(score, f"doc_id {kind}, held_out boolean, lang string, score double"))
+    own, every = calibrate(scored, labels)
+    own = checkpointed(own)
+    few = own.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    threshold = F.coalesce("threshold", F.lit(every))
+    told = scored.join(F.broadcast(own) if few else own, "lang", "left").select("doc_id", "held_out", "score", threshold.alias("threshold"))
+    return told.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).cast("int").alias("flagged"))
 
 
 def op7_text_cnn(spark, sf_dir: str) -> DataFrame:
