@@ -23,6 +23,8 @@ FOLD[65:91] += 32
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that are hashed at a time.
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,25 +69,46 @@ class Words:
         inside = is_word[self.raw]
         edge = np.zeros(len(self.raw) + 1, bool)
         edge[self.offsets] = True
-        before = np.zeros(len(self.raw), bool)
-        before[1:] = inside[:-1]
-        after = np.zeros(len(self.raw), bool)
-        after[:-1] = inside[1:]
-        self.start = np.flatnonzero(inside & (~before | edge[:-1]))
-        self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        head = inside & edge[:-1]
+        head[1:] |= inside[1:] & ~inside[:-1]
+        self.start = np.flatnonzero(head)
+        tail = inside & edge[1:]
+        tail[:-1] |= inside[:-1] & ~inside[1:]
+        self.end = np.flatnonzero(tail) + 1
+        del head, tail, edge
         self.first = np.searchsorted(self.start, self.offsets)
-        size = self.end - self.start
-        if len(size):
-            at = np.flatnonzero(inside)
-            head = np.cumsum(size) - size
-            place = np.arange(len(at)) - np.repeat(head, size)
-            low = FOLD[self.raw[at]] if fold else self.raw[at]
-            values = _BYTE[low] * powers(_P, int(size.max()))[place]
-            self.hashes = mix(np.add.reduceat(values, head) + size.astype(np.uint64))
-            if prefix:
-                self.prefixes = mix(np.add.reduceat(np.where(place < prefix, values, np.uint64(0)), head))
-        else:
-            self.hashes = self.prefixes = np.zeros(0, np.uint64)
+        sums = np.zeros((2 if prefix else 1, len(self.start)), np.uint64)
+        for low in range(0, len(self.raw), CHUNK):  # what is made for each byte is bounded, however long a word is
+            self._add(sums, inside, low, min(low + CHUNK, len(self.raw)), fold, prefix)
+        self.hashes = mix(sums[0] + (self.end - self.start).astype(np.uint64))
+        if prefix:
+            self.prefixes = mix(sums[1])
+
+    def _add(self, sums: np.ndarray, inside: np.ndarray, low: int, high: int, fold: bool, prefix: int) -> None:
+        """Add to each word's sums what its bytes from ``low`` to ``high`` give: byte values times powers by place."""
+        a, b = np.searchsorted(self.end, low, "right"), np.searchsorted(self.start, high)
+        if a >= b:
+            return
+        heads = np.maximum(self.start[a:b] - low, 0)
+        raw = self.raw[low + heads[0] : high]
+        values = _BYTE[FOLD[raw] if fold else raw]
+        values[~inside[low + heads[0] : high]] = 0
+        heads = heads - heads[0]
+        place = np.arange(len(raw)) - np.repeat(heads, np.diff(np.append(heads, len(raw))))
+        values *= powers(_P, int(place.max()) + 1)[place]
+        before = max(0, low - int(self.start[a]))  # bytes of the first word that earlier chunks took
+        shift = np.uint64(pow(int(_P), before, 1 << 64))
+        with np.errstate(over="ignore"):
+            for k in range(len(sums)):
+                some = values
+                if k:
+                    some = np.where(place < prefix, values, np.uint64(0))
+                    if before:
+                        cut = int(heads[1]) if len(heads) > 1 else len(raw)
+                        some[:cut][place[:cut] + before >= prefix] = 0
+                own = np.add.reduceat(some, heads)
+                own[0] = own[0] * shift
+                sums[k, a:b] += own
 
     @property
     def row(self) -> np.ndarray:

@@ -102,6 +102,110 @@ def test_factorisation_identity():
         assert abs(got[r] - (m.w[s] @ x + pairs)) < 1e-3
 
 
+ODD = [None, "", "  \n\t", "One one TWO two-two #tag 1.5 | |\nnext LINE!!\n", "é É ß 😀 x", "a " * 50 + "b", "no_white", "A|B|C ||| $$$ end$", "x\n\n\ny z.", "tab\tand\x0bfeed 12 34 AB"]
+
+
+def plain_features(text, n_chars):
+    """What the docstring promises, one text at a time: {word: times} and the structure statistics."""
+    import math
+
+    raw = (text or "").encode()
+    tokens = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in tokens]
+    times = {w: low.count(w) for w in low}
+    size, n, lines = max(len(raw), 1), max(len(tokens), 1), raw.count(b"\n") + 1
+    count = lambda chars: sum(raw.count(c.encode()) for c in chars)
+    symbols = "#$%&*+=<>@^_`~|\\{}[]!"
+    stats = [
+        math.log(size), math.log1p(len(tokens)), sum(map(len, tokens)) / n, count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / size, count("0123456789") / size,
+        count(symbols) / size, count(".,;:?'\"()-") / size, count("|") / n, count(" \t\n\x0b\x0c\r") / size, len(times) / n, max(times.values(), default=0) / n,
+        sum(a == b for a, b in zip(low, low[1:])) / n, len(tokens) / lines, math.log(lines), sum(chr(w[-1]) in symbols for w in tokens) / n,
+        math.log1p(max(n_chars, 0)) if n_chars is not None else math.nan,
+    ]
+    return times, stats
+
+
+def test_quality_features_against_plain_python():
+    import numpy as np
+    import pyarrow as pa
+
+    from quadrille.llm.words import WHITE, Words
+
+    chars = [5, None, -3, 0, 7, 100, 8, 9, 10, 11]
+    batch = pa.RecordBatch.from_arrays([pa.array(ODD, pa.string()), pa.array(chars, pa.int64())], ["text", "n_chars"])
+    row, slot, value, stats = quality.describe(batch)
+    slot_of = lambda w: int(Words(pa.array([w.decode()]), ~WHITE).hashes[0] >> np.uint64(64 - quality.WORD_BITS))
+    for r, (text, n) in enumerate(zip(ODD, chars)):
+        times, want = plain_features(text, n)
+        got = dict(zip(slot[row == r].tolist(), value[row == r].tolist()))
+        assert got == pytest.approx({slot_of(w): np.log1p(t) / len(times) ** 0.5 for w, t in times.items()})
+        assert stats[r] == pytest.approx(want, nan_ok=True)
+    edges = np.sort(np.random.default_rng(3).normal(size=(stats.shape[1], quality.BINS - 1)), axis=1)
+    slots = quality.bin_slots(stats, edges)
+    for r in range(len(ODD)):
+        for j in range(stats.shape[1]):
+            nth = quality.BINS if np.isnan(stats[r, j]) else sum(e <= stats[r, j] for e in edges[j])
+            assert slots[r, j] == (1 << quality.WORD_BITS) + j * (quality.BINS + 1) + nth
+
+
+def test_convolution_against_plain_loops():
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    t = toxicity
+    size = t.SIDES * t.DIM
+    net = t.Network([rng.normal(size=(1 << t.TABLE_BITS, t.DIM)).astype(np.float32) for _ in range(t.SIDES)], rng.normal(size=(size, sum(t.WIDTHS) * t.FILTERS)).astype(np.float32), rng.normal(size=len(t.WIDTHS) * t.FILTERS).astype(np.float32), rng.normal(size=len(t.WIDTHS) * t.FILTERS).astype(np.float32), np.float32(0.3))
+    got = net.score(pa.array(ODD, pa.string()))
+    for text, score in zip(ODD, got.tolist()):
+        tokens = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", (text or "").lower())
+        vectors = []
+        for w in tokens:
+            slots, _ = t.tokens(pa.array([w]))
+            assert slots[2][0] == t.tokens(pa.array([w.encode()[: t.PREFIX].decode(errors="ignore")]))[0][2][0] or not w.isascii()
+            vectors.append([float(x) for side, s in zip(net.tables, slots) for x in side[s[0]]])
+        pooled, column = [], 0
+        for k, width in enumerate(t.WIDTHS):
+            for f in range(t.FILTERS):
+                best = 0.0
+                for at in range(len(vectors) - width + 1):
+                    z = float(net.biases[k * t.FILTERS + f])
+                    for o in range(width):
+                        z += sum(x * float(net.filters[d, (column + o) * t.FILTERS + f]) for d, x in enumerate(vectors[at + o]))
+                    best = max(best, z)
+                pooled.append(best)
+            column += width
+        z = sum(p * float(o) for p, o in zip(pooled, net.out)) + 0.3
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_thresholds_from_all_calibrating_labels(spark):
+    """Each language's best F1 over all its calibrating rows, at their own proportions; held out and fitted rows have no say."""
+    import zlib
+
+    r = random.Random(8)
+    part = lambda i: zlib.crc32(str(i).encode()) % 5
+    rows = [(i, "aa" if i % 3 else ("bb" if i % 2 else None), r.betavariate(2, 3), int(r.random() < 0.2)) for i in range(3000)]
+    rows = [(i, lang, min(0.999, s + 0.4 * y if lang == "aa" else s), y) for i, lang, s, y in rows]
+    rare = [(9000 + k, "cc", 0.5, 1) for k in range(40)]
+    scored = spark.createDataFrame(rows + rare, "doc_id bigint, lang string, score double, y int")
+    said = scored.select("doc_id", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == toxicity.CALIBRATES, F.col("y")).otherwise(1 - F.col("y")).alias("toxic"))
+    own, every = toxicity.calibrate(scored, said)
+
+    def f1(some, t):
+        hit = sum(y for _, _, s, y in some if s >= t)
+        return 2 * hit / (sum(s >= t for _, _, s, _ in some) + sum(y for *_, y in some))
+
+    used = [x for x in rows + rare if part(x[0]) == toxicity.CALIBRATES]
+    bins = [k / toxicity.BINS for k in range(toxicity.BINS)]
+    got = {x.lang: x.threshold for x in own.collect()}
+    assert got.keys() == {"aa", "bb"}
+    for some, t in [([x for x in used if x[1] == g], t) for g, t in got.items()] + [(used, every)]:
+        assert f1(some, t) == pytest.approx(max(f1(some, b) for b in bins))
+
+
 # --- URLs ------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
+from quadrille.llm.decontaminate import remove_contaminated
 from quadrille.llm.registry import QUERIES, SQL
 from quadrille.session import read_table
 
@@ -35,6 +38,19 @@ def test_near_duplicate_stage_takes_odd_rows(spark):
         assert stage(spark, empty, SF).isEmpty()
 
 
+def test_no_text_is_lost_for_repeated_ids(spark):
+    """Different texts of one id are documents of their own; only copies go, and only once each."""
+    a, b, c = ("one two three four five six seven eight", "other words that share nothing with the first text", "a third text of its own with some more words in it")
+    rows = [(5, None, "en", "s", 0), (5, a, "en", "s", 1), (5, b, "en", "s", 2), (5, b, "en", "z", 2), (3, a, "en", "s", 1), (7, c, "en", "s", 1), (7, b.upper(), "en", "s", 1), (7, " ", "en", "s", 1), (8, c, "en", "s", 1), (9, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("near_extra", F.create_map(F.lit("k"), F.lit(1)))
+    got = sorted(((r.doc_id, r.text) for r in P.near_dup_stage(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(5, None), (3, a), (5, b), (7, " "), (8, c), (9, None)], key=str)
+    item = " ".join(f"item{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(5, item, "x"), (5, "clean text", "y"), (None, item, "z"), (6, None, "w")], "doc_id bigint, text string, hit_more string")
+    assert sorted(r.hit_more for r in remove_contaminated(docs, bench).collect()) == ["w", "y", "z"]
+
+
 def test_registry():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     assert set(SQL) <= set(QUERIES)

@@ -5,6 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quadrille.llm import words
 from quadrille.llm.words import ALNUM, WHITE, Words, slices, windows
 
 TEXT = st.one_of(st.none(), st.text(alphabet="aBé \t\n\x0b.Ñ1", max_size=40))
@@ -22,6 +23,18 @@ def test_words_are_runs(texts):
     assert [by_word[x] for x in low] == w.hashes.tolist() and len(set(by_word.values())) == len(by_word)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(TEXT, max_size=6), st.integers(1, 9))
+def test_hashes_do_not_depend_on_chunks(texts, size):
+    whole, before = Words(pa.array(texts, pa.string()), ~WHITE, prefix=3), words.CHUNK
+    try:
+        words.CHUNK = size
+        cut = Words(pa.array(texts, pa.string()), ~WHITE, prefix=3)
+    finally:
+        words.CHUNK = before
+    assert cut.hashes.tolist() == whole.hashes.tolist() and cut.prefixes.tolist() == whole.prefixes.tolist()
+
+
 def test_hash_does_not_depend_on_place():
     one = Words(pa.array(["x the Cat"]), ALNUM).hashes
     two = Words(pa.array(["", "the", "CAT, x"]), ALNUM).hashes
