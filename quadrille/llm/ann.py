@@ -4,10 +4,11 @@ Vectors are put on the unit sphere so that inner products keep their order (scal
 one more component that fills up to length one; a query gets a zero there). Each of TABLES tables hashes them by
 K Gaussian projections cut into intervals of WIDTH. A neighbour at similarity rho to a query lies around rho
 times the query's projection, so each perturbed bucket has an estimated success probability; a query visits
-buckets in that order until they hold SUCCESS of the probability in each table. rho is the similarity of the
-TOP-th neighbour, measured by brute force for SAMPLE queries against all rows, so clustered data is probed little
-and data without structure a lot. The candidates of all tables merge, and the exact inner products of the
-original vectors, in double precision, rank them.
+buckets in that order until they hold SUCCESS of the probability in each table. It does so twice: first as if its
+neighbours were at similarity FIRST, in few buckets; then at the similarity of the TOP-th vector found, which its true
+neighbours have at least, in those buckets that it hasn't seen. So each query pays by its own surroundings: one among
+close copies stops early, one without near neighbours goes on. The candidates of all tables merge, and the exact inner
+products of the original vectors, in double precision, rank them.
 
 Buckets that share their first two intervals form a cell. Queries and members of a cell meet in blocks of
 bounded size (BLOCK members, taken STEP at a time, and QUERY_BLOCK queries), and a block gives back each query's
@@ -23,7 +24,6 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,8 @@ from quadrille.llm.runs import runs
 from quadrille.llm.tables import bucket_of, checkpointed
 
 TOP, TABLES, K, WIDTH, BINS = 20, 2, 5, 2.0, 6
-#: Estimated success probability of the buckets that a query visits in one table.
-SUCCESS, SAMPLE = 0.75, 64
-#: Rows up to which every bucket is visited.
-SMALL = 4096
+#: Estimated success probability of the buckets that a query visits in one table, similarity of the first visit, and the mark of a visit to all buckets.
+SUCCESS, FIRST, EVERY = 0.75, 0.95, -1.0
 BLOCK, STEP, QUERY_BLOCK = 65_536, 4096, 1024
 COARSE, FINE = BINS * BINS, BINS ** (K - 2)
 
@@ -52,11 +50,20 @@ def matrix(column: pa.Array) -> np.ndarray:
 class Hasher:
     """The projections and offsets of every table, for vectors of ``dim`` components plus one."""
 
-    def __init__(self, dim: int, longest: float, rho: float, success: float):
+    def __init__(self, dim: int, longest: float, success: float = SUCCESS):
         rng = np.random.default_rng(11)
         self.a = rng.normal(size=(TABLES, dim + 1, K))
         self.b = rng.uniform(0, WIDTH, (TABLES, K))
-        self.longest, self.rho, self.success = longest, min(max(rho, 0.05), 0.995), success
+        self.longest, self.success = longest, success
+
+    @classmethod
+    def of(cls, a, b, longest, success):
+        h = cls.__new__(cls)
+        h.a, h.b, h.longest, h.success = a, b, longest, success
+        return h
+
+    def arrays(self):
+        return self.a, self.b, self.longest, self.success
 
     def on_sphere(self, x: np.ndarray, query: bool) -> np.ndarray:
         if query:
@@ -68,15 +75,14 @@ class Hasher:
         """(rows, K) intervals 0 to BINS - 1; the outer ones are open."""
         return np.clip(np.floor((self.on_sphere(x, False) @ self.a[table] + self.b[table]) / WIDTH).astype(np.int64) + BINS // 2, 0, BINS - 1)
 
-    def probes(self, x: np.ndarray, table: int) -> np.ndarray:
-        """(queries, COARSE, FINE): whether a query visits the bucket."""
-        if self.success >= 1:
-            return np.ones((len(x), COARSE, FINE), bool)
+    def probes(self, x: np.ndarray, table: int, rho: np.ndarray) -> np.ndarray:
+        """(queries, COARSE, FINE): whether a query visits the bucket, for neighbours at its similarity ``rho``."""
         from math import erf
 
-        at = self.rho * (self.on_sphere(x, True) @ self.a[table])
+        rho, every = np.clip(rho, 0, 0.995), rho == EVERY
+        at = rho[:, None] * (self.on_sphere(x, True) @ self.a[table])
         edges = (np.arange(1, BINS) - BINS // 2)[None, None, :] * WIDTH - self.b[table][None, :, None]
-        z = (edges - at[:, :, None]) / sqrt(2 * (1 - self.rho**2))
+        z = (edges - at[:, :, None]) / np.sqrt(2 * (1 - rho**2))[:, None, None]
         below = 0.5 * (1 + np.vectorize(erf)(z))
         p = np.diff(np.concatenate([np.zeros((*below.shape[:2], 1)), below, np.ones((*below.shape[:2], 1))], axis=2), axis=2)
         joint = p[:, 0]
@@ -86,7 +92,14 @@ class Hasher:
         gained = np.cumsum(np.take_along_axis(joint, order, 1), axis=1)
         visit = np.zeros(joint.shape, bool)
         np.put_along_axis(visit, order, np.concatenate([np.zeros((len(x), 1)), gained[:, :-1]], 1) < self.success, 1)
-        return visit.reshape(len(x), COARSE, FINE)
+        return (visit | every[:, None]).reshape(len(x), COARSE, FINE)
+
+    def new_probes(self, x: np.ndarray, table: int, rhos: np.ndarray) -> np.ndarray:
+        """The buckets of the last of several visits (columns of ``rhos``) that none before it saw."""
+        visit = self.probes(x, table, rhos[:, -1])
+        for k in range(rhos.shape[1] - 1):
+            visit &= ~self.probes(x, table, rhos[:, k])
+        return visit
 
 
 def codes(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,27 +109,30 @@ def codes(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best(q_ids, queries, ids, vectors, allowed: np.ndarray, top: int):
-    """(query_id, vec_id, score) of each query's best ``top`` among its allowed vectors; ties to the smaller id."""
+    """(query_id, vec_id, score) of each query's best ``top`` ids among its allowed vectors; ties to the smaller id."""
     s = queries @ vectors.T
     s[~allowed | (q_ids[:, None] == ids[None, :])] = -np.inf
-    if s.shape[1] > top:
-        least = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
+    order = np.argsort(ids, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+    by_id = s if len(heads) == len(ids) else np.maximum.reduceat(s[:, order], heads, axis=1)
+    if by_id.shape[1] > top:
+        least = np.partition(by_id, by_id.shape[1] - top, axis=1)[:, by_id.shape[1] - top]
     else:
         least = np.full(len(s), -np.inf)
     # the product's rounding may depend on places; what could be among the best is computed again, alike everywhere
     slack = 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(least), least, 0.0)))
     x, y = np.nonzero((s >= (least - slack)[:, None]) & np.isfinite(s))
-    score = np.einsum("ij,ij->i", queries[x], vectors[y])
-    order = np.lexsort((ids[y], -score, x))
-    x, y, score = x[order], y[order], score[order]
-    first = np.searchsorted(x, np.arange(len(q_ids)))
-    own = np.arange(len(x)) - first[x] < top
-    return q_ids[x[own]], ids[y[own]], score[own]
+    return merged([(q_ids[x], ids[y], np.einsum("ij,ij->i", queries[x], vectors[y]))], top)
 
 
 def merged(parts: list[tuple], top: int):
-    """The best ``top`` of each query over several results of ``best`` with different vectors."""
+    """The best ``top`` ids of each query over several lists of (query_id, vec_id, score)."""
     q, ids, score = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((-score, ids, q))
+    q, ids, score = q[order], ids[order], score[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+    q, ids, score = q[new], ids[new], score[new]
     order = np.lexsort((ids, -score, q))
     q, ids, score = q[order], ids[order], score[order]
     own = np.arange(len(q)) - np.searchsorted(q, q) < top
@@ -131,37 +147,38 @@ def usable_vectors(rows: DataFrame) -> DataFrame:
     return some
 
 
-def search(vectors: DataFrame, queries: DataFrame, hasher: Hasher, top: int) -> DataFrame:
-    """Each query's best ``top`` in every block that it visits."""
-    shared = vectors.sparkSession.sparkContext.broadcast((hasher.a, hasher.b, hasher.longest, hasher.rho, hasher.success))
-
-    def own() -> Hasher:
-        h = Hasher.__new__(Hasher)
-        h.a, h.b, h.longest, h.rho, h.success = shared.value
-        return h
+def place(vectors: DataFrame, hasher: Hasher) -> DataFrame:
+    """(id, v, cell, place): every vector in its bucket of each table."""
+    shared = vectors.sparkSession.sparkContext.broadcast(hasher.arrays())
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = own()
+        h = Hasher.of(*shared.value)
         for batch in batches:
             x = matrix(batch.column("v"))
             for t in range(TABLES):
-                cell, place = codes(h.bins(x, t))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell + t * COARSE), pa.array(place)], ["id", "v", "cell", "place"])
+                cell, at = codes(h.bins(x, t))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell + t * COARSE), pa.array(at)], ["id", "v", "cell", "place"])
+
+    return checkpointed(vectors.mapInArrow(members, "id bigint, v array<double>, cell bigint, place bigint"))
+
+
+def search(placed: DataFrame, queries: DataFrame, hasher: Hasher, top: int) -> DataFrame:
+    """Each query's best ``top`` in every block that the last of its visits (``rhos``) reaches."""
+    shared = placed.sparkSession.sparkContext.broadcast(hasher.arrays())
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = own()
+        h = Hasher.of(*shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                x = matrix(batch.column("v"))
+                x, rhos = matrix(batch.column("v")), matrix(batch.column("rhos"))
                 for t in range(TABLES):
-                    visit = h.probes(x, t)
+                    visit = h.new_probes(x, t, rhos)
                     q, cell = np.nonzero(visit.any(2))
                     bits = np.packbits(visit[q, cell], axis=1)
                     yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(q)), batch.column("v").take(pa.array(q)), pa.array(cell + t * COARSE), pa.array([b.tobytes() for b in bits], pa.binary())], ["id", "v", "cell", "bits"])
 
-    placed = checkpointed(vectors.mapInArrow(members, "id bigint, v array<double>, cell bigint, place bigint"))
-    asked = checkpointed(queries.mapInArrow(visits, "id bigint, v array<double>, cell bigint, bits binary"))
+    asked = checkpointed(queries.select("vec_id", "v", "rhos").mapInArrow(visits, "id bigint, v array<double>, cell bigint, bits binary"))
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("mb")).join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qb")), "cell")
     sizes = F.broadcast(sizes)  # TABLES x COARSE rows at most
     null = F.lit(None)
@@ -198,28 +215,8 @@ def ranked(hits: DataFrame, top: int) -> DataFrame:
     return one.withColumn("rank", place).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
-def similarity_of_top(vectors: DataFrame, sample: list, longest: float, top: int) -> float:
-    """A low quartile, over sampled queries, of the similarity on the sphere of the top-th neighbour among all rows."""
-    q_ids = np.array([r.vec_id for r in sample], np.int64)
-    q = np.array([r.v for r in sample], float)
-    shared = vectors.sparkSession.sparkContext.broadcast((q_ids, q))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = shared.value
-        for batch in batches:
-            y = matrix(batch.column("v"))
-            for at in range(0, len(y), STEP):
-                some = y[at : at + STEP]
-                got = best(ids, x, batch.column("vec_id").to_numpy()[at : at + STEP], some, np.ones((len(ids), len(some)), bool), top)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["query_id", "vec_id", "score"])
-
-    last = ranked(vectors.mapInArrow(scan, HIT), top).groupBy("query_id").agg(F.min("score").alias("s")).collect()  # SAMPLE rows
-    norms = dict(zip(q_ids.tolist(), np.linalg.norm(q, axis=1).tolist(), strict=True))
-    return float(np.quantile([r.s / norms[r.query_id] / longest for r in last], 0.25)) if last else 0.5
-
-
-def nearest(rows: DataFrame, is_query, top: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest found of every row for which ``is_query`` holds."""
+def nearest(rows: DataFrame, is_query, top: int = TOP, success: float = SUCCESS) -> DataFrame:
+    """query_id, rank, vec_id, score: the nearest found of every row for which ``is_query`` holds; all are searched if ``success`` is 1."""
     usable = usable_vectors(rows)
     kinds = usable.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
     if kinds is None:
@@ -227,19 +224,32 @@ def nearest(rows: DataFrame, is_query, top: int = TOP) -> DataFrame:
     vectors = usable.where(F.size("v") == kinds.dim)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     longest = vectors.agg(F.max(norm)).first()[0]
-    queries = vectors.where(is_query)
-    if kinds.n <= SMALL:
-        return ranked(search(vectors, queries, Hasher(kinds.dim, longest, 0.5, 1.0), top), top)
-    sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    hasher = Hasher(kinds.dim, longest, similarity_of_top(vectors, sample, longest, top), SUCCESS)
-    found = checkpointed(ranked(search(vectors, queries, hasher, top), top))
-    # the few queries, if any, whose buckets hold fewer than top candidates visit all buckets
-    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= top).select(F.col("query_id").alias("vec_id"))
-    rest = checkpointed(queries.join(full, "vec_id", "left_anti").select("vec_id", "v"))
-    if rest.isEmpty():
-        return found
-    more = ranked(search(vectors, rest, Hasher(kinds.dim, longest, 0.5, 1.0), top), top)
-    return found.join(rest.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(more)
+    hasher = Hasher(kinds.dim, longest, success)
+    placed = place(vectors, hasher)
+    n = F.coalesce("n", F.lit(0))
+
+    def visit(asked: DataFrame, found: DataFrame | None = None) -> DataFrame:
+        """``found`` and what the last of the visits of ``asked`` brings."""
+        hits = search(placed, asked, hasher, top)
+        return checkpointed(ranked(hits if found is None else hits.unionByName(found.select("query_id", "vec_id", "score")), top))
+
+    def so_far(asked: DataFrame, found: DataFrame) -> DataFrame:
+        told = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s"))
+        return asked.join(told, "vec_id", "left")
+
+    def again(asked: DataFrame, rho) -> DataFrame:
+        return checkpointed(asked.select("vec_id", "v", F.concat("rhos", F.array(rho)).alias("rhos")))
+
+    asked = checkpointed(vectors.where(is_query).withColumn("rhos", F.array(F.lit(FIRST if success < 1 else EVERY))))
+    found = visit(asked)
+    if success < 1:
+        asked = again(so_far(asked, found), F.when(n >= top, F.col("s") / norm / longest).otherwise(0.0))
+        found = visit(asked, found)
+        # the few queries, if any, that still have fewer than top visit what is left
+        rest = again(so_far(asked, found).where(n < top), F.lit(EVERY))
+        if not rest.isEmpty():
+            found = visit(rest, found)
+    return found
 
 
 def op5_multiprobe_lsh(spark, sf_dir: str) -> DataFrame:

@@ -37,12 +37,12 @@ def vectors(n, seed, clusters=0):
     return np.round(x, 2).astype(np.float32)
 
 
-def test_small_tables_are_exact(spark):
+def test_all_buckets_are_exact(spark):
     x = vectors(300, 1)
     x[100:180] = x[100]  # ties
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     odd = [(1000, None, 0), (1020, [0.0] * 16, 0), (1040, [float("nan")] * 16, 0), (1060, [1.0, 2.0], 0), (1080, [float("inf")] + [1.0] * 15, 0), (1100, [None] + [1.0] * 15, 0), (None, x[0].tolist(), 0), (40, x[40].tolist(), 0), (1120, [], 0)]
-    got = ann.nearest(table(spark, rows + odd).withColumn("score", F.lit("clash")), F.col("vec_id") % 20 == 0)
+    got = ann.nearest(table(spark, rows + odd).withColumn("score", F.lit("clash")), F.col("vec_id") % 20 == 0, success=1.0)
     mine = {}
     for r in got.orderBy("query_id", "rank").collect():
         mine.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -61,19 +61,45 @@ def test_few_vectors_and_none(spark):
     assert ann.nearest(table(spark, [(20, [1.0], 0)]), F.lit(True)).isEmpty()
 
 
-@pytest.mark.parametrize("clusters", [0, 40])
-def test_recall(spark, clusters, monkeypatch):
-    monkeypatch.setattr(ann, "SMALL", 0)
-    monkeypatch.setattr(ann, "BLOCK", 512)
-    monkeypatch.setattr(ann, "STEP", 100)
-    x = vectors(4000, 2, clusters)
+def recall(spark, x, least=20):
+    """Recall of each query against brute force, by the operator's own parameters."""
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     got = {}
     for r in ann.nearest(table(spark, rows), F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     want = exact([(i, v) for i, v, _ in rows], 20)
-    assert all(len(v) == 20 for v in got.values()) and got.keys() == want.keys()
-    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) / (20 * len(want)) >= 0.9
+    assert all(len(v) == least for v in got.values()) and got.keys() == want.keys()
+    return {q: len(got[q] & {i for i, _ in want[q]}) / least for q in want}
+
+
+@pytest.mark.parametrize(("n", "clusters"), [(4000, 0), (4000, 40), (600, 0)])
+def test_recall(spark, n, clusters, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 512)
+    monkeypatch.setattr(ann, "STEP", 100)
+    found = recall(spark, vectors(n, 2, clusters))
+    assert sum(found.values()) / len(found) >= 0.9
+
+
+def test_recall_of_copies_and_of_isolated_vectors(spark):
+    """Four of five rows lie in tight groups of copies, the others anywhere: both kinds are found."""
+    rng = np.random.default_rng(4)
+    n = 4000
+    alone = np.arange(n) % 100 < 20
+    x = rng.normal(size=(n, 16))
+    x[~alone] = rng.normal(size=(n // 32, 16))[rng.integers(0, n // 32, (~alone).sum())] + 0.01 * rng.normal(size=((~alone).sum(), 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    found = recall(spark, x)
+    for kind in (True, False):
+        some = [v for q, v in found.items() if alone[q] == kind]
+        assert len(some) > 30 and sum(some) / len(some) >= 0.9
+
+
+def test_repeated_ids_do_not_crowd_out_others(spark):
+    """Thirty rows of one id count once, wherever they lie."""
+    x = vectors(60, 9)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(7, (50 * x[20] + 0.01 * k).tolist(), 0) for k in range(30)] + [(8, (60 * x[20]).tolist(), 0)] * 30
+    got = [(r.vec_id, r["rank"]) for r in ann.nearest(table(spark, rows), F.col("vec_id") == 20).orderBy("rank").collect()]
+    assert [k for _, k in got] == list(range(1, 21)) and {i for i, _ in got[:2]} == {7, 8} and len({i for i, _ in got}) == 20
 
 
 # --- archives --------------------------------------------------------------------------------------------------
