@@ -3,14 +3,15 @@
 1. A task turns each text into its set of distinct word shingles, LANES minima of it, BANDS band keys over
    ROWS full minima each, and a signature of the BITS low bits of SIGNED minima, packed into longs.
 2. Texts with equal sets become one class, so copies cost nothing further.
-3. Classes that share a band key are candidates. Buckets that overlap form a family (components of the links
-   from each class to the smallest class of its bucket, so a bucket of n classes costs n rows).
-4. A family's members meet in cells of bounded size, with their signatures and full sets. Bit counts of the
-   signatures estimate every similarity, corrected for chance collisions of the low bits; pairs within MARGIN
-   standard errors of the threshold are confirmed on the full sets, and a cell gives back only the links that
-   hold its components together. A family over one cell is dealt out as pairs of its parts, so memory stays
-   bounded and no pair is left out; its work grows with the square of its classes, which exactness asks for.
-5. Components over the links; each document gets the smallest doc_id of its component.
+3. Classes that share a band key are candidates, and only those. Each meets its bucket's smallest class (the pivot)
+   once, by native bit counts of the signatures: the estimate is corrected for chance collisions of the low bits, and
+   a pair within MARGIN standard errors of the threshold passes. What does not pass meets the rest of its bucket in
+   cells of bounded size; a cell gives back links that span what passes among its members, not all pairs.
+4. Families are components of the links that passed, so texts that merely share a template or a quote form none.
+   A family of one cell is confirmed there, on full sets. In a larger one the links themselves are confirmed first;
+   then only members outside the family's largest component meet the others, in cells of bounded size. So a group of
+   many copies costs in proportion to its size, and no pair that could join two components is left out.
+5. Components over the confirmed links; each document gets the smallest doc_id of its component.
 
 A pair at a threshold of 0.85 shares no band with probability (1 - 0.85**7)**40 = 2e-7 (0.8: 8e-5).
 
@@ -27,7 +28,7 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.components import components
@@ -38,7 +39,7 @@ from quadrille.llm.words import WHITE, Words, mix, powers, slices, windows
 BITS, BANDS, ROWS, SIGNED = 4, 40, 7, 128
 LANES = BANDS * ROWS
 MARGIN = 5.0
-#: Members and shingles that a part of a family has, about; two parts meet in a cell.
+#: Members and shingles that a part of a bucket or family has, about; two parts meet in a cell.
 CELL, CELL_SHINGLES = 1024, 1 << 20
 #: Pairs for each member of a cell up to which they are confirmed one by one, and not by a matrix product.
 SINGLY = 8
@@ -147,24 +148,27 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def links_of(ids: np.ndarray, packed: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a > b) that span the components which the members of one cell form among themselves."""
-    least, n = _margin(percent / 100), np.array([len(s) for s in sets])
-    xs, ys = [], []
-    for at in range(0, len(ids), 128):
-        x, y = np.nonzero(estimate(equal_lanes(packed[at : at + 128], packed)) >= least)
-        x = x + at
-        low = (x < y) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-        xs.append(x[low])
-        ys.append(y[low])
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    if len(x) > SINGLY * len(ids):
-        some, back = np.unique(np.concatenate([x, y]), return_inverse=True)
-        both = common([sets[i] for i in some])[back[: len(x)], back[len(x) :]]
-    else:
-        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
-    good = 100 * both >= percent * (n[x] + n[y] - both)
-    root = list(range(len(ids)))
+def similar_lanes(a: Column, b: Column) -> Column:
+    """Lanes in which two packed signatures agree, as ``equal_lanes`` counts them."""
+
+    def lanes(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        for i in (1, 2):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, i))
+        return F.lit(64 // BITS) - F.bit_count(d.bitwiseAND(F.lit(_ONES)))
+
+    return F.aggregate(F.zip_with(a, b, lanes), F.lit(0), lambda s, x: s + x)
+
+
+def least_lanes(percent: int) -> int:
+    """The fewest equal lanes of a pair that passes."""
+    return int(np.flatnonzero(estimate(np.arange(SIGNED + 1)) >= _margin(percent / 100))[0])
+
+
+def spanning(ids: np.ndarray, group: np.ndarray, pairs, good) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a > b) that span what the good ones of ``pairs`` (two arrays of places, in order of choice) join beyond the groups."""
+    first: dict[int, int] = {}
+    root = [first.setdefault(g, k) for k, g in enumerate(group.tolist())]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -172,13 +176,42 @@ def links_of(ids: np.ndarray, packed: np.ndarray, sets: list[np.ndarray], percen
             i = root[i]
         return i
 
-    for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True):
-        i, j = find(i), find(j)
-        if i != j:
-            root[max(i, j)] = min(i, j)
-    top = np.array([find(i) for i in range(len(ids))])
-    own = np.flatnonzero(top != np.arange(len(ids)))
-    return np.maximum(ids[own], ids[top[own]]), np.minimum(ids[own], ids[top[own]])
+    a, b = [], []
+    for i, j in zip(pairs[0][good].tolist(), pairs[1][good].tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            a.append(i)
+            b.append(j)
+    x, y = ids[np.array(a, np.int64)], ids[np.array(b, np.int64)]
+    return np.maximum(x, y), np.minimum(x, y)
+
+
+def passing(packed: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places (x < y) in different groups whose signatures pass, the most similar first."""
+    least, found = least_lanes(percent), []
+    for at in range(0, len(packed), 128):
+        lanes = equal_lanes(packed[at : at + 128], packed)
+        x, y = np.nonzero(lanes >= least)
+        keep = (x + at < y) & (group[x + at] != group[y])
+        found.append((x[keep] + at, y[keep], lanes[x[keep], y[keep]]))
+    x, y, lanes = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(-lanes, kind="stable")
+    return x[order], y[order]
+
+
+def links_of(ids: np.ndarray, group: np.ndarray, packed: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Confirmed links (a > b) that span the components which the groups of one cell form among themselves."""
+    x, y = passing(packed, group, percent)
+    n = np.array([len(s) for s in sets])
+    near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+    x, y = x[near], y[near]
+    if len(x) > SINGLY * len(ids):
+        some, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+        both = common([sets[i] for i in some])[back[: len(x)], back[len(x) :]]
+    else:
+        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+    return spanning(ids, group, (x, y), 100 * both >= percent * (n[x] + n[y] - both))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int, is_word: np.ndarray) -> DataFrame:
@@ -197,18 +230,81 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, is_word: np.ndarray)
     return texts.mapInArrow(sets, "id bigint, shingles array<bigint>")
 
 
-def _meet(percent: int):
+def dealt(members: DataFrame, by: str) -> DataFrame:
+    """``members`` (by, id, rest, weight, …) in cells (by, i, j): what is ``rest`` meets all of its group, the others meet the rest only."""
+    parts = lambda some: F.greatest(F.ceil(F.count_if(some) / CELL), F.ceil(F.sum(F.when(some, F.col("weight")).otherwise(0)) / CELL_SHINGLES)).cast("int")
+    sizes = members.groupBy(by).agg(parts(F.col("rest")).alias("parts"), parts(~F.col("rest")).alias("others")).where("parts > 0")
+    h = F.xxhash64("id")
+    own = F.when(F.col("rest"), F.pmod(h, F.col("parts"))).otherwise(F.col("parts") + F.pmod(h, F.greatest("others", F.lit(1)))).cast("int")
+    last = F.when(F.col("rest"), F.col("parts") + F.col("others")).otherwise(F.col("parts")) - 1
+    met = members.join(sizes, by).withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0), last)))
+    return met.withColumns({"i": F.least("own", "x"), "j": F.greatest("own", "x")}).drop("own", "x", "parts", "others", "rest", "weight")
+
+
+def _cells(rows: DataFrame, by: str, percent: int) -> DataFrame:
+    """Links of every cell of ``dealt`` rows; confirmed if they hold ``shingles``."""
+    exact = "shingles" in rows.columns
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in runs(batches, ["family", "i", "j"]):
-            ids = cell.column("id").to_numpy()
+        for cell in runs(batches, [by, "i", "j"]):
+            if cell.num_rows < 2:
+                continue
+            ids, group = cell.column("id").to_numpy(), cell.column("group").to_numpy()
             packed = cell.column("packed").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-            shingles = cell.column("shingles").combine_chunks()
-            flat, cut = shingles.flatten().to_numpy().view(np.uint64), shingles.offsets.to_numpy()
-            cut = cut - cut[0]
-            a, b = links_of(ids, packed, [flat[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)], percent)
+            if exact:
+                shingles = cell.column("shingles").combine_chunks()
+                flat, cut = shingles.flatten().to_numpy().view(np.uint64), shingles.offsets.to_numpy()
+                cut = cut - cut[0]
+                a, b = links_of(ids, group, packed, [flat[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)], percent)
+            else:
+                pairs = passing(packed, group, percent)
+                a, b = spanning(ids, group, pairs, slice(None))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return meet
+    return rows.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j").mapInArrow(meet, "a bigint, b bigint")
+
+
+def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between classes (id, keys, packed) of one bucket whose signatures pass; they span all such pairs."""
+    banded = classes.select("id", F.explode("keys").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    placed = checkpointed(banded.join(buckets, "key"))
+    signed = classes.select("id", "packed")
+    met = placed.where("id != pivot").select("id", "pivot").distinct().join(signed, "id").join(signed.toDF("pivot", "pivot_packed"), "pivot")
+    met = checkpointed(met.select("id", "pivot", (similar_lanes(F.col("packed"), F.col("pivot_packed")) >= least_lanes(percent)).alias("passes")))
+    # buckets of three or more with a class that did not pass its pivot
+    failed = met.where("NOT passes").select("id", "pivot")
+    open_keys = placed.where("size > 2").join(failed, ["id", "pivot"]).select("key").distinct()
+    open_rows = placed.where("size > 2 AND id != pivot").join(open_keys, "key", "left_semi").join(met, ["id", "pivot"]).select("key", "id", "pivot", (~F.col("passes")).alias("rest"))
+    pivots = open_rows.select("key", F.col("pivot").alias("id"), "pivot", F.lit(False).alias("rest")).distinct()
+    members = open_rows.unionByName(pivots).join(signed, "id").select("key", "id", "rest", F.lit(1).alias("weight"), F.when(F.col("rest"), F.col("id")).otherwise(F.col("pivot")).alias("group"), "packed")
+    return met.where("passes").select(F.col("id").alias("a"), F.col("pivot").alias("b")).unionAll(_cells(dealt(members, "key"), "key", percent)).distinct()
+
+
+def confirmed_links(docs: DataFrame, classes: DataFrame, links: DataFrame, width: int, percent: int, is_word: np.ndarray) -> DataFrame:
+    """(a, b): confirmed links that span the near duplicates among the families which candidate ``links`` form."""
+    families = components(links).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    members = checkpointed(families.join(classes.select("id", "n", "packed"), "id"))
+    sets = full_sets(docs, members.select("id"), width, is_word)
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    large = checkpointed(sizes.where((F.col("size") > CELL) | (F.col("weight") > CELL_SHINGLES)).select("family"))
+    whole = members.join(large, "family", "left_anti").withColumns({"rest": F.lit(True), "group": F.col("id")})
+    if large.isEmpty():
+        sure, every = None, whole
+    else:
+        sets = checkpointed(sets)
+        inside = members.join(large, "family", "left_semi")
+        own = sets.join(inside.select("id"), "id", "left_semi")
+        pairs = links.join(inside.select(F.col("id").alias("a")), "a", "left_semi").join(own.toDF("a", "of_a"), "a").join(own.toDF("b", "of_b"), "b")
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        sure = checkpointed(pairs.where(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b"))
+        parts = components(sure).select(F.col("node").alias("id"), "component")
+        grouped = checkpointed(inside.join(parts, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component"))
+        most = grouped.groupBy("family", "group").agg(F.count(F.lit(1)).alias("size")).groupBy("family").agg(F.max_by("group", F.struct("size", "group")).alias("most"))
+        every = whole.unionByName(grouped.join(most, "family").withColumn("rest", F.col("group") != F.col("most")).drop("most"))
+    rows = dealt(every.withColumnRenamed("n", "weight"), "family").join(sets, "id").select("family", "i", "j", "id", "group", "packed", "shingles")
+    found = _cells(rows, "family", percent)
+    return found if sure is None else found.unionAll(sure)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, is_word: np.ndarray = ~WHITE) -> DataFrame:
@@ -234,16 +330,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, is_word:
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     merged = usable.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "n", "keys", "packed"), "doc_id").alias("c"))
     classes = checkpointed(merged.select("d1", "d2", F.col("c.doc_id").alias("id"), "c.n", "c.keys", "c.packed"))
-    banded = classes.select("id", F.explode("keys").alias("key"))
-    pivots = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot != last").select("key", "pivot")
-    families = components(banded.join(pivots, "key").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-    members = checkpointed(families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(classes.select("id", "n", "packed"), "id"))
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts"))
-    dealt = members.join(sizes, "family").withColumn("c", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sets = full_sets(docs, members.select("id"), width, is_word)
-    cells = dealt.join(sets, "id").select("family", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "id", "packed", "shingles")
-    links = cells.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_meet(percent), "a bigint, b bigint")
-    comps = components(links)
+    links = checkpointed(candidate_links(classes, percent))
+    comps = components(confirmed_links(docs, classes, links, width, percent, is_word))
     # every document by its class
     named = classes.select("d1", "d2", "id").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     by_set = signed.join(named, ["d1", "d2"], "left")

@@ -62,6 +62,63 @@ def test_against_all_pairs(spark, width, percent, monkeypatch):
     assert got == brute(rows, width, percent)
 
 
+def dense(n, seed, first=1000):
+    """Copies of one text with a few changes each, some of them far from the rest but near to one another."""
+    r, base = random.Random(seed), words(300, seed)
+    rows = []
+    for k in range(n):
+        w = [*base]
+        for at in r.sample(range(300), r.randrange(1, 12)):
+            w[at] = f"x{k}_{at}"
+        rows.append((first + k, " ".join(w)))
+    far = [*base]
+    for at in range(0, 300, 25):
+        far[at] = f"far{at}"
+    for k in range(6):
+        w = [*far]
+        w[5 + k] = f"y{k}"
+        rows.append((first + 500 + k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("cell", [4, 16, 1024])
+def test_dense_groups_against_all_pairs(spark, cell, monkeypatch):
+    monkeypatch.setattr(N, "CELL", cell)
+    rows = dense(60, 11) + dense(25, 12, 2000) + [(1, " ".join(words(300, 11))), (2, "alone among many")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(frame(spark, rows), 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_templates_form_no_families(spark):
+    """Texts that share half of their words in one block meet in buckets, but no link passes, so nothing is confirmed in cells."""
+    template = words(120, 5)
+    rows = [(k, " ".join(template + words(120, 100 + k))) for k in range(150)]
+    docs = frame(spark, rows)
+    links = []
+    keep = N.candidate_links
+    try:
+        N.candidate_links = lambda *a: links.append(keep(*a)) or links[-1]
+        got = {r.doc_id: r.component_id for r in N.near_duplicates(docs, 3, 85).collect()}
+    finally:
+        N.candidate_links = keep
+    assert got == {k: k for k, _ in rows}
+    assert links[0].count() <= 5
+
+
+def test_dealt_cells(spark, monkeypatch):
+    """What is already one component meets the rest, never itself: cells grow with its size, not the square."""
+    monkeypatch.setattr(N, "CELL", 8)
+    members = spark.range(1000).select(F.lit(1).alias("f"), "id", (F.col("id") < 3).alias("rest"), F.lit(1).alias("weight"))
+    rows = N.dealt(members, "f").collect()
+    assert len(rows) < 1000 + 3 * 130
+    cells = {}
+    for r in rows:
+        cells.setdefault((r.i, r.j), set()).add(r.id)
+    for a in range(3):
+        for b in range(1000):
+            assert a == b or any(a in c and b in c for c in cells.values())
+
+
 def test_query_on_a_fixture(spark, sf, tmp_path):
     rows = cases()[:30]
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
@@ -85,6 +142,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).isEmpty()
 
 
+def test_native_lanes_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2**64, (40, N.SIGNED * N.BITS // 64), dtype=np.uint64)
+    x[20:, ::2] = x[:20, ::2]
+    rows = [(a.view(np.int64).tolist(), b.view(np.int64).tolist()) for a, b in zip(x[:20], x[20:])]
+    got = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select(N.similar_lanes(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in got] == np.diag(N.equal_lanes(x[:20], x[20:])).tolist()
+    assert (N.estimate(np.array([N.least_lanes(85) - 1, N.least_lanes(85)])) >= N._margin(0.85)).tolist() == [False, True]
+
+
 def test_estimate_is_unbiased():
     import numpy as np
 
