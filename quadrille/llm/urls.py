@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def ngram_features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.nda
     """(row, slot, value) of hashed n-grams of bytes of ``^host$`` and ``^path$``, each part in its own slots; a row's values have norm about 1."""
     rows, slots = [], []
     for part, column in enumerate((hosts, paths)):
-        raw, offsets = buffers(pa.array([f"^{x or ''}$" for x in column.to_pylist()], pa.string()))
+        raw, offsets = buffers(pc.binary_join_element_wise(pa.scalar("^", pa.large_string()), pc.fill_null(column.cast(pa.large_string()), ""), pa.scalar("$", pa.large_string()), pa.scalar("", pa.large_string())))
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         codes = FOLD[raw].astype(np.uint64) + np.uint64(1 + 1000 * part)
         for width in WIDTHS:

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.tables import checkpointed, shared_path
+from quadrille.llm.words import slices
 
 #: Bytes of payload after which a package is closed, and bytes that one range read spans at most.
 PACKAGE_BYTES, RANGE_BYTES = 32 << 20, 4 << 20
@@ -82,9 +83,12 @@ def package(records: list[tuple[bytes, dict]]) -> bytes:
 
 def directory(read, size: int) -> dict[str, tuple[int, int, int, int]]:
     """Members of a ZIP file by name: (offset of local header, compressed size, size, method). ``read(at, n)`` gives a range."""
-    tail_at = max(0, size - 65_557)
+    tail_at = max(0, size - 65_577)  # end record, the longest comment, and the ZIP64 locator before them
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
+    # an end record's comment reaches to the end of the file; the same bytes within a comment don't fit
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack("<H", tail[end + 20 : end + 22])[0] != len(tail)):
+        end = tail.rfind(b"PK\x05\x06", 0, end)
     if end < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack("<HII", tail[end + 10 : end + 20])
@@ -194,13 +198,13 @@ def write_packages(records: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "size": len(data), "records": len(held)}])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                page_id, url, payload, kind, refers_to = (batch.column(c)[i].as_py() for c in range(5))
-                held.append((packed(record(page_id, url, payload, kind, refers_to)), {"page": page_id, "type": kind}))
-                size += len(payload)
-                if size >= PACKAGE_BYTES:
-                    yield close()
-                    held, size = [], 0
+            for part in slices(batch, "payload"):
+                for page_id, url, payload, kind, refers_to in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    held.append((packed(record(page_id, url, payload, kind, refers_to)), {"page": page_id, "type": kind}))
+                    size += len(payload)
+                    if size >= PACKAGE_BYTES:
+                        yield close()
+                        held, size = [], 0
         if held:
             yield close()
 

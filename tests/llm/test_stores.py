@@ -154,6 +154,18 @@ def as_zip64(data: bytes) -> bytes:
     return data[:start] + out + record + locator + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 9) + b"a comment"
 
 
+def test_end_records_in_comments():
+    """Comments that hold the mark of an end record, and the longest comment behind a ZIP64 locator."""
+    data = warc.package([(warc.packed(warc.record(i, "u", b"text", "response", None)), {"page": i}) for i in range(3)])
+    ends = data.rfind(b"PK\x05\x06")
+    for comment in (b"see PK\x05\x06 and more bytes than an end record has", b"PK\x05\x06", b"x" * 65_535):
+        plain = data[: ends + 20] + struct.pack("<H", len(comment)) + comment
+        large = as_zip64(data)
+        large = large[: large.rfind(b"PK\x05\x06") + 20] + struct.pack("<H", len(comment)) + comment
+        for d in (plain, large):
+            assert [r["page_id"] for r in warc.records_of(lambda at, n, d=d: d[at : at + n], len(d))] == [0, 1, 2]
+
+
 def test_zip64_and_damage():
     made = [(warc.packed(warc.record(i, "u", f"text {i}".encode(), "response", None)), {"page": i}) for i in range(5)]
     data = warc.package(made)
