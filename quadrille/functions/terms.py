@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the RDF, RDFS, OWL and SHACL vocabularies.
-RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+RDF_TYPE = RDF + "type"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 LABEL, COMMENT, SUBCLASS, DOMAIN = RDFS + "label", RDFS + "comment", RDFS + "subClassOf", RDFS + "domain"
 OWL = "http://www.w3.org/2002/07/owl#"

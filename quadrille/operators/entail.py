@@ -1,87 +1,179 @@
-"""Entailment by semi-naive rounds; every rule is one join, every inferred quad is flagged.
+"""Entailment by semi-naive rounds; rules are data, every inferred quad is flagged.
 
-Rules: subClassOf is transitive and types are inherited; domains type their subjects; transitive, inverse and
-chained properties; equivalent classes; hasValue and someValuesFrom restrictions in the direction that types
-their members. Each graph entails for itself.
+A rule is a list of triple patterns and a head. In a round each of its patterns in turn takes what the last round
+found, the others take everything, so a premise that comes late meets the earlier ones on either side. Rules whose
+vocabulary does not occur are not planned. Each graph entails for itself.
+
+Rules: subClassOf is transitive and types are inherited, also over equivalent classes; domains type their subjects;
+transitive and inverse properties; property chains of any length; hasValue restrictions both ways, someValuesFrom in
+the direction that types its members.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as T
 from quadrille.session import ensure_checkpoint_dir
 
-KEY = ["g", "s", "p", "o"]
+KEY = ["g", "s", "p", "o", "lit"]
+#: Quads of one schema predicate up to which they are broadcast; beyond, they are joined by shuffle.
+BROADCAST_QUADS = 100_000
+
+TYPE, SUB, DOMAIN = T.RDF_TYPE, T.SUBCLASS, T.DOMAIN
+EQUIVALENT, INVERSE, TRANSITIVE = T.OWL + "equivalentClass", T.OWL + "inverseOf", T.OWL + "TransitiveProperty"
+ON, HAS, SOME, CHAIN = T.OWL + "onProperty", T.OWL + "hasValue", T.OWL + "someValuesFrom", T.OWL + "propertyChainAxiom"
+#: States of half-read chains, internal to the rounds: what starts them, what they take and give.
+STATE, STARTS, TAKES, GIVES = "chain:", "chain:starts", "chain:takes", "chain:gives"
+
+Triple = tuple[str, str, str]
+RULES: list[tuple[list[Triple], Triple]] = [
+    ([("?c", SUB, "?d"), ("?d", SUB, "?e")], ("?c", SUB, "?e")),
+    ([("?x", TYPE, "?c"), ("?c", SUB, "?d")], ("?x", TYPE, "?d")),
+    ([("?x", TYPE, "?c"), ("?c", EQUIVALENT, "?d")], ("?x", TYPE, "?d")),
+    ([("?x", TYPE, "?d"), ("?c", EQUIVALENT, "?d")], ("?x", TYPE, "?c")),
+    ([("?s", "?p", "?o"), ("?p", DOMAIN, "?c")], ("?s", TYPE, "?c")),
+    ([("?p", TYPE, TRANSITIVE), ("?s", "?p", "?m"), ("?m", "?p", "?o")], ("?s", "?p", "?o")),
+    ([("?p", INVERSE, "?q"), ("?s", "?p", "?o")], ("?o", "?q", "?s")),
+    ([("?p", INVERSE, "?q"), ("?s", "?q", "?o")], ("?o", "?p", "?s")),
+    ([("?c", ON, "?p"), ("?c", HAS, "?v"), ("?s", "?p", "?v")], ("?s", TYPE, "?c")),
+    ([("?c", ON, "?p"), ("?c", HAS, "?v"), ("?s", TYPE, "?c")], ("?s", "?p", "?v")),
+    ([("?c", ON, "?p"), ("?c", SOME, "?k"), ("?s", "?p", "?o"), ("?o", TYPE, "?k")], ("?s", TYPE, "?c")),
+    ([("?p", STARTS, "?t"), ("?s", "?p", "?m")], ("?s", "?t", "?m")),
+    ([("?a", TAKES, "?p"), ("?a", GIVES, "?t"), ("?s", "?a", "?m"), ("?m", "?p", "?o")], ("?s", "?t", "?o")),
+]
+VOCABULARY = sorted({p for body, _ in RULES for _, p, _ in body if not p.startswith("?")})
+
+
+def chain_states(quads: DataFrame, longest: int = 64) -> DataFrame | None:
+    """Property chains, read from their RDF lists, as quads of states; None without any.
 
+    A state (``chain:`` and property, a space, the list cell to be read next) holds of what the cells before lead to.
+    """
+    about = lambda p, s, o: quads.where(F.col("p") == p).select("g", F.col("s").alias(s), F.col("o").alias(o)).distinct()
+    cells = about(CHAIN, "q", "cell").checkpoint()
+    if cells.isEmpty():
+        return None
+    first, rest = about(T.RDF + "first", "cell", "p"), about(T.RDF + "rest", "cell", "next")
+    out, head = [], True
+    for _ in range(longest):
+        read = cells.join(first, ["g", "cell"]).join(rest, ["g", "cell"]).checkpoint()
+        if read.isEmpty():
+            return reduce(DataFrame.unionAll, out).distinct() if out else None
+        state = lambda c: F.concat(F.lit(STATE), F.col("q"), F.lit(" "), F.col(c))
+        gives = F.when(F.col("next") == T.RDF + "nil", F.col("q")).otherwise(state("next"))
+        if head:
+            out.append(read.select("g", F.col("p").alias("s"), F.lit(STARTS).alias("p"), gives.alias("o"), F.lit(False).alias("lit")))
+        else:
+            out.append(read.select("g", state("cell").alias("s"), F.lit(TAKES).alias("p"), F.col("p").alias("o"), F.lit(False).alias("lit")))
+            out.append(read.select("g", state("cell").alias("s"), F.lit(GIVES).alias("p"), gives.alias("o"), F.lit(False).alias("lit")))
+        cells, head = read.where(F.col("next") != T.RDF + "nil").select("g", "q", F.col("next").alias("cell")), False
+    raise ValueError(f"a property chain is longer than {longest}")
 
-def _about(quads: DataFrame, p: str, s: str, o: str) -> DataFrame:
-    return quads.where(F.col("p") == p).select("g", F.col("s").alias(s), F.col("o").alias(o))
 
+def _atom(facts: DataFrame, triple: Triple, subjects: set[str]) -> DataFrame:
+    """Bindings of one pattern, with ``lit_x`` for an object variable that is nowhere a subject; others bind no literals."""
+    rows, out = facts, [F.col("g")]
+    for column, term in zip("spo", triple, strict=True):
+        if not term.startswith("?"):
+            rows = rows.where(F.col(column) == term)
+        elif column == "o" and term in subjects:
+            rows = rows.where("NOT lit")
+            out.append(F.col("o").alias(term[1:]))
+        elif column == "o":
+            out += [F.col("o").alias(term[1:]), F.col("lit").alias("lit_" + term[1:])]
+        else:
+            out.append(F.col(column).alias(term[1:]))
+    return rows.select(*out)
 
-def _typed(rows: DataFrame, s: str, c: str) -> DataFrame:
-    return rows.select("g", F.col(s).alias("s"), F.lit(T.RDF_TYPE).alias("p"), F.col(c).alias("o"))
 
+def _apply(rule: tuple[list[Triple], Triple], sources: list[DataFrame], small: set[str]) -> DataFrame:
+    """The head of a rule, each pattern taken from its own source; patterns on ``small`` predicates are broadcast."""
+    body, head = rule
+    subjects = {t[0] for t in (*body, head)} | {t[1] for t in (*body, head) if t[1].startswith("?")}
+    frames = []
+    for triple, facts in zip(body, sources, strict=True):
+        frame = _atom(facts, triple, subjects)
+        if triple[1].startswith("?"):
+            # only quads of predicates that a small pattern names are joined at all
+            for other, others in zip(body, sources, strict=True):
+                if other[1] in small and triple[1] in (other[0], other[2]):
+                    names = _atom(others, other, subjects).select("g", triple[1][1:]).distinct()
+                    frame = frame.join(F.broadcast(names), ["g", triple[1][1:]], "left_semi")
+        frames.append((F.broadcast(frame) if triple[1] in small else frame, frame.columns))
+    # the widest first, then whatever shares a variable with what is there
+    frames.sort(key=lambda f: -len(f[1]))
+    out, names = frames.pop(0)
+    while frames:
+        k = next(i for i, (_, c) in enumerate(frames) if set(c) & set(names) - {"g"})
+        frame, c = frames.pop(k)
+        out, names = out.join(frame, [x for x in names if x in c]), [*names, *(x for x in c if x not in names)]
+    value = lambda term: F.col(term[1:]) if term.startswith("?") else F.lit(term)
+    lit = F.col("lit_" + head[2][1:]) if "lit_" + head[2][1:] in names else F.lit(False)
+    return out.select("g", value(head[0]).alias("s"), value(head[1]).alias("p"), value(head[2]).alias("o"), lit.alias("lit")).toDF(*KEY)
 
-def one_round(new: DataFrame, old: DataFrame) -> DataFrame:
-    """What the rules give from ``new`` together with ``old`` (which includes ``new``)."""
-    new = new.toDF(*KEY)
-    typ = _about(old, T.RDF_TYPE, "x", "c")
-    new_typ = _about(new, T.RDF_TYPE, "x", "c")
-    sub = _about(old, T.SUBCLASS, "c", "d").unionByName(_about(old, T.OWL + "equivalentClass", "c", "d")).unionByName(_about(old, T.OWL + "equivalentClass", "d", "c"))
-    new_sub = _about(new, T.SUBCLASS, "c", "d")
-    plain = old.select("g", "s", "p", "o")
-    new_plain = new.select("g", "s", "p", "o")
+
+def _counts(facts: DataFrame) -> dict[str, int]:
+    """Quads of each predicate of the rules' vocabulary, under the class's name for transitive properties, and of all others (under '')."""
+    kind = F.when((F.col("p") == TYPE) & (F.col("o") == TRANSITIVE), TRANSITIVE).when(F.col("p").isin(VOCABULARY), F.col("p")).otherwise("")
+    return {r.k: r.n for r in facts.groupBy(kind.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per word of the vocabulary
+
+
+def _occurs(triple: Triple, counts: dict[str, int]) -> bool:
+    if triple[1].startswith("?"):
+        return True
+    if triple[1] == TYPE:
+        return TRANSITIVE in counts if triple[2] == TRANSITIVE else TYPE in counts or TRANSITIVE in counts
+    return triple[1] in counts
+
+
+def one_round(new: DataFrame, every: DataFrame, new_counts: dict[str, int], counts: dict[str, int], first: bool = False) -> DataFrame | None:
+    """What the rules give from ``new`` together with ``every`` quad, which includes it; None if no rule can give any."""
+    small = {p for p in VOCABULARY if p != TYPE and counts.get(p, 0) <= BROADCAST_QUADS}
     out = []
-    # subclasses
-    up = _about(old, T.SUBCLASS, "d", "e")
-    out.append(new_sub.join(up, ["g", "d"]).select("g", F.col("c").alias("s"), F.lit(T.SUBCLASS).alias("p"), F.col("e").alias("o")))
-    out.append(_typed(new_typ.join(sub, ["g", "c"]), "x", "d"))
-    out.append(_typed(typ.join(new_sub, ["g", "c"]), "x", "d"))
-    # domains
-    out.append(_typed(new_plain.join(_about(old, T.DOMAIN, "p", "c"), ["g", "p"]), "s", "c"))
-    # transitive properties
-    trans = typ.where(F.col("c") == T.OWL + "TransitiveProperty").select("g", F.col("x").alias("p"))
-    steps = plain.join(trans, ["g", "p"]).select("g", "p", F.col("s").alias("o"), F.col("o").alias("next"))
-    out.append(new_plain.join(steps, ["g", "p", "o"]).select("g", "s", "p", F.col("next").alias("o")))
-    # inverse properties
-    inverse = _about(old, T.OWL + "inverseOf", "p", "q").unionByName(_about(old, T.OWL + "inverseOf", "q", "p"))
-    out.append(new_plain.join(inverse, ["g", "p"]).select("g", F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o")))
-    # chains of two properties, as (property, first, second)
-    chain = _about(old, "urn:x:chain/first", "q", "p1").join(_about(old, "urn:x:chain/second", "q", "p2"), ["g", "q"])
-    one = chain.join(plain.select("g", F.col("p").alias("p1"), "s", F.col("o").alias("m")), ["g", "p1"])
-    two = plain.select("g", F.col("p").alias("p2"), F.col("s").alias("m"), "o")
-    out.append(one.join(two, ["g", "p2", "m"]).select("g", "s", F.col("q").alias("p"), "o"))
-    # restrictions
-    on = _about(old, T.OWL + "onProperty", "c", "p")
-    has = on.join(_about(old, T.OWL + "hasValue", "c", "o"), ["g", "c"])
-    out.append(_typed(new_plain.join(has, ["g", "p", "o"]), "s", "c"))
-    some = on.join(_about(old, T.OWL + "someValuesFrom", "c", "k"), ["g", "c"])
-    member = some.join(typ.select("g", F.col("x").alias("o"), F.col("c").alias("k")), ["g", "k"])
-    out.append(_typed(plain.join(member, ["g", "p", "o"]), "s", "c"))
-    # each rule's columns under names of their own: a union over one checkpointed frame must not share attributes
-    result = out[0].select(*KEY).toDF(*KEY)
-    for r in out[1:]:
-        result = result.unionAll(r.select(*KEY).toDF(*KEY))
-    return result.distinct()
+    for body, head in RULES:
+        if not all(_occurs(t, counts) for t in body):
+            continue
+        for k, triple in enumerate(body[:1] if first else body):
+            if first or _occurs(triple, new_counts):
+                out.append(_apply((body, head), [every if first or i != k else new for i in range(len(body))], small))
+    return reduce(DataFrame.unionAll, out).distinct() if out else None
 
 
 def entail(quads: DataFrame, max_rounds: int = 32) -> DataFrame:
     """``quads`` with everything the rules add, flagged ``inferred``."""
     ensure_checkpoint_dir(quads.sparkSession)
-    kinds = quads.select("g", F.col("o").alias("o"), "o_kind").where(F.col("o_kind") == T.BNODE).distinct()
-    known = quads.select(*KEY).distinct().checkpoint()
-    new, added = known, None
-    for _ in range(max_rounds):
-        fresh = one_round(new, known).join(known, KEY, "left_anti").checkpoint()
-        if fresh.isEmpty():
+    blank = lambda node, kind: quads.where(F.col(kind) == T.BNODE).select("g", F.col(node).alias("node"))
+    base = quads.select("g", "s", "p", "o", (F.col("o_kind") == T.LITERAL).alias("lit"))
+    states = chain_states(quads)
+    every = (base if states is None else base.unionByName(states)).distinct().checkpoint()
+    new, added, counts = every, None, _counts(every)
+    new_counts = counts
+    for k in range(max_rounds):
+        found = one_round(new, every, new_counts, counts, first=k == 0)
+        if found is None:
+            break
+        fresh = found.join(every, KEY, "left_anti").checkpoint()
+        new_counts = _counts(fresh)
+        if not new_counts:
             break
-        added = fresh if added is None else added.unionByName(fresh)
-        known, new = known.unionByName(fresh).checkpoint(), fresh
+        added = fresh if added is None else added.unionAll(fresh)
+        every, new = every.unionAll(fresh), fresh
+        counts = {p: counts.get(p, 0) + new_counts.get(p, 0) for p in counts | new_counts}
     else:
         raise RuntimeError(f"entailment did not settle in {max_rounds} rounds")
     if added is None:
         return quads
-    told = added.join(kinds, ["g", "o"], "left").select("g", "s", "p", "o", F.lit(T.IRI).alias("s_kind"), F.coalesce("o_kind", F.lit(T.IRI)).alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"), F.lit(True).alias("inferred"))
-    return quads.unionByName(told)
+    told = added.where(~F.startswith("p", F.lit(STATE)))
+    blanks = blank("s", "s_kind").unionAll(blank("o", "o_kind")).distinct().checkpoint()
+    kind = {x: F.lit(T.IRI) for x in "so"}
+    if not blanks.isEmpty():
+        for x in "so":
+            told = told.join(blanks.select("g", F.col("node").alias(x), F.lit(T.BNODE).alias(f"{x}_blank")), ["g", x], "left")
+            kind[x] = F.coalesce(F.col(f"{x}_blank"), F.lit(T.IRI))
+    o_kind = F.when(F.col("lit"), T.LITERAL).otherwise(kind["o"])
+    null = F.lit(None).cast("string")
+    return quads.unionByName(told.select("g", "s", "p", "o", kind["s"].alias("s_kind"), o_kind.alias("o_kind"), null.alias("o_dt"), null.alias("o_lang"), F.lit(True).alias("inferred")))

@@ -147,48 +147,61 @@ def _declare(spark, *rows):
     return spark.createDataFrame([(M.MAIN, s, p, o, T.IRI, T.IRI, None, None, False) for s, p, o in rows], Q.SCHEMA)
 
 
-GEO_SQL = "geo AS (SELECT 'urn:x:region/' || n_regionkey AS s, 'urn:x:nation/' || n_nationkey AS o FROM nation UNION ALL SELECT 'urn:x:nation/' || s_nationkey, 'urn:x:supplier/' || s_suppkey FROM supplier)"
+#: Containment and all that lies at any depth below.
+DEEP_SQL = f"""{M.EDGES_SQL}, deep(s, o) AS (SELECT s, o FROM edges UNION SELECT d.s, e.o FROM deep d JOIN edges e ON d.o = e.s)"""
 
 
-def _geo(spark, sf):
-    return M.contains_edges(spark, sf).where(~F.col("o").startswith("urn:x:customer/") & ~F.col("o").startswith("urn:x:order/"))
-
-
-@query("entail_transitive", f"WITH {GEO_SQL} SELECT DISTINCT a.s, b.o FROM geo a JOIN geo b ON a.o = b.s")
+@query("entail_transitive", f"WITH RECURSIVE {DEEP_SQL} SELECT s, o FROM deep EXCEPT SELECT s, o FROM edges")
 def entail_transitive(spark, sf):
-    q = Q.union(_geo(spark, sf), _declare(spark, (M.CONTAINS, TYPE, T.OWL + "TransitiveProperty")))
+    q = Q.union(M.contains_edges(spark, sf), _declare(spark, (M.CONTAINS, TYPE, T.OWL + "TransitiveProperty")))
     return E.entail(q).where(F.col("inferred") & (F.col("p") == M.CONTAINS)).select("s", "o")
 
 
-@query("entail_inverse", f"WITH {GEO_SQL} SELECT o AS s, s AS o FROM geo")
+@query("entail_transitive_inverse", f"""WITH RECURSIVE {DEEP_SQL} SELECT s, '{M.CONTAINS}' AS p, o FROM deep WHERE (s, o) NOT IN (SELECT s, o FROM edges)
+UNION ALL SELECT o, 'urn:x:p/within', s FROM deep""")
+def entail_transitive_inverse(spark, sf):
+    """The suppliers' edges are told the other way round, so each rule needs the other's results."""
+    edges = M.contains_edges(spark, sf)
+    turned = F.startswith("o", F.lit("urn:x:supplier/"))
+    within = edges.where(turned).select("g", F.col("o").alias("s"), F.lit("urn:x:p/within").alias("p"), F.col("s").alias("o"), "s_kind", "o_kind", "o_dt", "o_lang", "inferred")
+    rules = _declare(spark, (M.CONTAINS, TYPE, T.OWL + "TransitiveProperty"), (M.CONTAINS, T.OWL + "inverseOf", "urn:x:p/within"))
+    found = E.entail(Q.union(edges.where(~turned), within, rules)).where(F.col("p").isin(M.CONTAINS, "urn:x:p/within"))
+    # what the tables say either way is no inference; the rest is
+    told = (F.col("p") == M.CONTAINS) & (~F.col("inferred") | F.startswith("o", F.lit("urn:x:supplier/")) & F.startswith("s", F.lit("urn:x:nation/")))
+    return found.where(~told).select("s", "p", "o")
+
+
+@query("entail_inverse", f"WITH {M.EDGES_SQL} SELECT o AS s, s AS o FROM edges")
 def entail_inverse(spark, sf):
-    q = Q.union(_geo(spark, sf), _declare(spark, (M.CONTAINS, T.OWL + "inverseOf", "urn:x:p/within")))
+    q = Q.union(M.contains_edges(spark, sf), _declare(spark, (M.CONTAINS, T.OWL + "inverseOf", "urn:x:p/within")))
     return E.entail(q).where("inferred AND p = 'urn:x:p/within'").select("s", "o")
 
 
-@query("entail_hasvalue", f"WITH {GEO_SQL} SELECT s FROM geo WHERE o = 'urn:x:nation/3'")
+@query("entail_hasvalue", f"WITH {M.EDGES_SQL} SELECT s FROM edges WHERE o = 'urn:x:order/7'")
 def entail_hasvalue(spark, sf):
-    q = Q.union(_geo(spark, sf), _declare(spark, ("urn:x:c/HasThree", T.OWL + "onProperty", M.CONTAINS), ("urn:x:c/HasThree", T.OWL + "hasValue", "urn:x:nation/3")))
-    return E.entail(q).where("inferred AND o = 'urn:x:c/HasThree'").select("s")
+    q = Q.union(M.contains_edges(spark, sf), _declare(spark, ("urn:x:c/HasSeven", T.OWL + "onProperty", M.CONTAINS), ("urn:x:c/HasSeven", T.OWL + "hasValue", "urn:x:order/7")))
+    return E.entail(q).where("inferred AND o = 'urn:x:c/HasSeven'").select("s")
 
 
-@query("entail_chain", f"WITH {GEO_SQL} SELECT DISTINCT a.s, b.o FROM geo a JOIN geo b ON a.o = b.s")
+@query("entail_chain", f"WITH {M.EDGES_SQL} SELECT DISTINCT a.s, c.o FROM edges a JOIN edges b ON a.o = b.s JOIN edges c ON b.o = c.s")
 def entail_chain(spark, sf):
-    q = Q.union(_geo(spark, sf), _declare(spark, ("urn:x:p/regionOf", "urn:x:chain/first", M.CONTAINS), ("urn:x:p/regionOf", "urn:x:chain/second", M.CONTAINS)))
+    """A property chain of three steps, as an RDF list."""
+    cells = [(f"urn:x:l/{k}", T.RDF + "first", M.CONTAINS) for k in (1, 2, 3)] + [("urn:x:l/1", T.RDF + "rest", "urn:x:l/2"), ("urn:x:l/2", T.RDF + "rest", "urn:x:l/3"), ("urn:x:l/3", T.RDF + "rest", T.RDF + "nil")]
+    q = Q.union(M.contains_edges(spark, sf), _declare(spark, ("urn:x:p/regionOf", T.OWL + "propertyChainAxiom", "urn:x:l/1"), *cells))
     return E.entail(q).where("inferred AND p = 'urn:x:p/regionOf'").select("s", "o")
 
 
-@query("entail_domain", f"WITH {GEO_SQL} SELECT DISTINCT s FROM geo")
+@query("entail_domain", f"WITH {M.EDGES_SQL} SELECT DISTINCT s FROM edges")
 def entail_domain(spark, sf):
-    q = Q.union(_geo(spark, sf), _declare(spark, (M.CONTAINS, T.DOMAIN, "urn:x:c/Place")))
+    q = Q.union(M.contains_edges(spark, sf), _declare(spark, (M.CONTAINS, T.DOMAIN, "urn:x:c/Place")))
     return E.entail(q).where("inferred AND o = 'urn:x:c/Place'").select("s")
 
 
-@query("entail_somevalues", f"WITH {GEO_SQL} SELECT DISTINCT s FROM geo WHERE starts_with(o, 'urn:x:supplier/')")
+@query("entail_somevalues", f"WITH {M.EDGES_SQL} SELECT DISTINCT s FROM edges WHERE starts_with(o, 'urn:x:supplier/')")
 def entail_somevalues(spark, sf):
     typed = Q.quads_of(read_table(spark, sf, "supplier"), M.iri("supplier", "s_suppkey"), TYPE, F.lit("urn:x:type/supplier"), M.MAIN)
     rule = _declare(spark, ("urn:x:c/Supplied", T.OWL + "onProperty", M.CONTAINS), ("urn:x:c/Supplied", T.OWL + "someValuesFrom", "urn:x:type/supplier"))
-    return E.entail(Q.union(_geo(spark, sf), typed, rule)).where("inferred AND o = 'urn:x:c/Supplied'").select("s")
+    return E.entail(Q.union(M.contains_edges(spark, sf), typed, rule)).where("inferred AND o = 'urn:x:c/Supplied'").select("s")
 
 
 @query("entail_equivalent", "SELECT 'urn:x:supplier/' || s_suppkey AS s FROM supplier")
