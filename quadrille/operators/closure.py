@@ -22,11 +22,11 @@ class Reached:
     truncated: bool
 
 
-def closure(edges: DataFrame, starts: DataFrame | None = None, max_depth: int = 64, keys: tuple[str, ...] = ()) -> Reached:
+def closure(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | None = 64, keys: tuple[str, ...] = ()) -> Reached:
     """All (src, dst, depth) with a path of one or more of ``edges`` (src, dst), from ``starts`` (src) or everywhere.
 
     ``keys`` are columns that stay equal along a path, such as the graph. A start is among its own ends only if
-    it lies on a cycle.
+    it lies on a cycle. Without ``max_depth`` rounds go on until one finds nothing.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     keys = list(keys)
@@ -43,7 +43,7 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, max_depth: int =
         fresh = ahead.join(found.select(*keys, "src", "dst"), [*keys, "src", "dst"], "left_anti").withColumn("depth", F.lit(depth + 1)).checkpoint()
         if fresh.isEmpty():
             return Reached(found, depth, False)
-        if depth >= max_depth:
+        if max_depth is not None and depth >= max_depth:
             return Reached(found, depth, True)
         found, frontier, depth = found.unionByName(fresh), fresh, depth + 1
 

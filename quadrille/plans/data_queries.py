@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as T
@@ -161,7 +163,7 @@ P = "urn:x:p/"
 
 
 def order_values(spark, sf):
-    """Orders as property values: customer (IRI), price, status, priority, date."""
+    """Orders as property values: customer (IRI), price, status, priority, id, and a note here and there."""
     o = read_table(spark, sf, "orders")
     cell = lambda p, v, k, dt=None: F.struct(F.lit(P + p).alias("path"), v.cast("string").alias("o"), F.lit(k).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"))
     cells = F.array(
@@ -170,7 +172,7 @@ def order_values(spark, sf):
         cell("status", F.col("o_orderstatus"), T.LITERAL),
         cell("priority", F.col("o_orderpriority"), T.LITERAL),
         cell("id", F.col("o_orderkey"), T.LITERAL, T.XSD + "integer"),
-        cell("twin", F.when(F.col("o_orderkey") % 50 == 0, M.iri("customer", "o_custkey")), T.IRI),
+        cell("note", F.when(F.col("o_orderkey") % 50 == 0, F.col("o_orderpriority")), T.LITERAL),
     )
     return o.select(M.iri("order", "o_orderkey").alias("focus"), F.explode(cells).alias("c")).select("focus", "c.*").where("o IS NOT NULL")
 
@@ -187,30 +189,62 @@ def customer_types(spark, sf):
 ORDER = "'urn:x:order/' || o_orderkey"
 CUST = "'urn:x:customer/' || o_custkey"
 SOLVENT = "o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"
+SHAPE = "urn:x:shape/Order"
+#: The shape of orders as a shapes graph; the queries compile and check it.
+ORDER_SHAPES = f"""
+@prefix sh: <{T.SHACL}> . @prefix xsd: <{T.XSD}> . @prefix p: <{P}> .
+<{SHAPE}> a sh:NodeShape ; sh:targetClass <urn:x:type/order> ; sh:closed true ; sh:severity sh:Warning ;
+  sh:ignoredProperties ( <{T.RDF_TYPE}> p:ignored ) ;
+  sh:property [ sh:path p:customer ; sh:class <urn:x:type/Solvent> ; sh:severity sh:Warning ; sh:message "no solvent customer" ] ,
+    [ sh:path p:customer ; sh:qualifiedValueShape [ sh:class <urn:x:type/Solvent> ] ; sh:qualifiedMinCount 1 ] ,
+    [ sh:path p:price ; sh:nodeKind sh:IRI ] , [ sh:path p:id ; sh:minCount 2 ] ,
+    [ sh:path p:status ; sh:datatype xsd:integer ; sh:in ( "F" "O" ) ] , [ sh:path p:status ; sh:hasValue "O" ] ,
+    [ sh:path p:priority ; sh:pattern "^[1-3]" ; sh:minLength 6 ; sh:maxCount 0 ] , [ sh:path p:priority ; sh:disjoint p:note ] .
+"""
+NOTE = "o_orderkey % 50 = 0"
+# component: path, value and condition of its violations, and severity
 CONSTRAINTS = {
-    "mincount": (S.Constraint("Order", "minCount", P + "twin", 1), "NULL", "o_orderkey % 50 <> 0"),
-    "maxcount": (S.Constraint("Order", "maxCount", P + "twin", 0), "NULL", "o_orderkey % 50 = 0"),
-    "datatype": (S.Constraint("Order", "datatype", P + "status", T.XSD + "integer"), "o_orderstatus", "true"),
-    "nodekind": (S.Constraint("Order", "nodeKind", P + "price", "IRI"), "o_totalprice::DECIMAL(18,2)::VARCHAR", "true"),
-    "in": (S.Constraint("Order", "in", P + "status", allowed=["F", "O"]), "o_orderstatus", "o_orderstatus NOT IN ('F', 'O')"),
-    "pattern": (S.Constraint("Order", "pattern", P + "priority", "^[1-3]"), "o_orderpriority", "NOT regexp_matches(o_orderpriority, '^[1-3]')"),
-    "minlength": (S.Constraint("Order", "minLength", P + "priority", 6), "o_orderpriority", "length(o_orderpriority) < 6"),
-    "hasvalue": (S.Constraint("Order", "hasValue", P + "status", "O"), "NULL", "o_orderstatus <> 'O'"),
-    "disjoint": (S.Constraint("Order", "disjoint", P + "twin", P + "customer"), CUST, "o_orderkey % 50 = 0"),
-    "class": (S.Constraint("Order", "class", P + "customer", "urn:x:type/Solvent", "Warning"), CUST, f"NOT {SOLVENT}"),
-    "qualified": (S.Constraint("Order", "qualifiedMinCount", P + "customer", 1, allowed=["urn:x:type/Solvent"]), "NULL", f"NOT {SOLVENT}"),
-    "closed": (S.Constraint("Order", "closed", None, severity="Warning", allowed=[P + x for x in ("customer", "price", "status", "priority", "id")]), CUST, "o_orderkey % 50 = 0"),
+    "mincount": ("minCount", "id", "NULL", "true", "Violation"),
+    "maxcount": ("maxCount", "priority", "NULL", "true", "Violation"),
+    "datatype": ("datatype", "status", "o_orderstatus", "true", "Violation"),
+    "nodekind": ("nodeKind", "price", "o_totalprice::DECIMAL(18,2)::VARCHAR", "true", "Violation"),
+    "in": ("in", "status", "o_orderstatus", "o_orderstatus NOT IN ('F', 'O')", "Violation"),
+    "pattern": ("pattern", "priority", "o_orderpriority", "NOT regexp_matches(o_orderpriority, '^[1-3]')", "Violation"),
+    "minlength": ("minLength", "priority", "o_orderpriority", "length(o_orderpriority) < 6", "Violation"),
+    "hasvalue": ("hasValue", "status", "NULL", "o_orderstatus <> 'O'", "Violation"),
+    "disjoint": ("disjoint", "priority", "o_orderpriority", NOTE, "Violation"),
+    "class": ("class", "customer", CUST, f"NOT {SOLVENT}", "Warning"),
+    "qualified": ("qualifiedMinCount", "customer", "NULL", f"NOT {SOLVENT}", "Violation"),
+    "closed": ("closed", "note", "o_orderpriority", NOTE, "Warning"),
 }
 
 
 def _violations_sql(name: str) -> str:
-    c, value, where = CONSTRAINTS[name]
-    path = f"'{P}twin'" if name == "closed" else f"'{c.path}'"
-    return f"SELECT {ORDER} AS focus, {path} AS path, '{c.component}' AS component, '{c.severity}' AS severity, {value}::VARCHAR AS value, 'Order' AS shape FROM orders WHERE {where}"
+    component, path, value, where, severity = CONSTRAINTS[name]
+    return f"SELECT {ORDER} AS focus, '{P}{path}' AS path, '{component}' AS component, '{severity}' AS severity, {value}::VARCHAR AS value, '{SHAPE}' AS shape FROM orders WHERE {where}"
+
+
+@functools.cache
+def _compiled(app: str) -> tuple:
+    from pyspark.sql import SparkSession
+
+    from quadrille.sources import turtle
+
+    return tuple(S.constraints_of(turtle.read_text(SparkSession.active(), ORDER_SHAPES, "g")).collect())  # the twelve of one shape
+
+
+def order_constraints(spark, *components: str):
+    """The constraints of the shapes graph, compiled once a session."""
+    rows = [r for r in _compiled(spark.sparkContext.applicationId) if not components or r.component in components]
+    return spark.createDataFrame(rows, S.CONSTRAINT)
 
 
 def _violations(name: str):
-    return lambda spark, sf: S.violations_of(CONSTRAINTS[name][0], order_focus(spark, sf), order_values(spark, sf), customer_types(spark, sf))
+    def run(spark, sf):
+        rules = order_constraints(spark, CONSTRAINTS[name][0])
+        return S.check(rules, order_focus(spark, sf).select(F.lit(SHAPE).alias("shape"), "focus"), order_values(spark, sf), customer_types(spark, sf)).select(*S.REPORT)
+
+    return run
 
 
 for _name in CONSTRAINTS:
@@ -218,7 +252,7 @@ for _name in CONSTRAINTS:
 
 
 def _report(spark, sf):
-    return S.validate([c for c, _, _ in CONSTRAINTS.values()], {"Order": order_focus(spark, sf)}, order_values(spark, sf), customer_types(spark, sf))
+    return S.check(order_constraints(spark), order_focus(spark, sf).select(F.lit(SHAPE).alias("shape"), "focus"), order_values(spark, sf), customer_types(spark, sf)).select(*S.REPORT)
 
 
 REPORT_SQL = "report AS (" + " UNION ALL ".join(f"({_violations_sql(n)})" for n in CONSTRAINTS) + ")"
@@ -234,6 +268,20 @@ def shacl_severity_split(spark, sf):
     return S.conforms(_report(spark, sf))
 
 
+@query("shacl_from_graph", f"WITH {REPORT_SQL} SELECT shape, path, component, severity, count(*) AS n, count(DISTINCT value) AS vals, CASE WHEN component = 'class' THEN 'no solvent customer' END AS message FROM report GROUP BY ALL")
+def shacl_from_graph(spark, sf):
+    """Data quads against the shapes graph: targets, lists, severities and messages all come from quads."""
+    from quadrille.operators import quads as Q
+    from quadrille.sources import turtle
+
+    cells = order_values(spark, sf)
+    kind, value, path, dt = F.col("o_kind"), F.col("o"), F.col("path"), F.col("o_dt")
+    data = cells.select(F.lit(M.MAIN).alias("g"), F.col("focus").alias("s"), path.alias("p"), value.alias("o"), F.lit(T.IRI).alias("s_kind"), kind.alias("o_kind"), dt.alias("o_dt"), F.lit(None).cast("string").alias("o_lang"), F.lit(False).alias("inferred"))
+    types = [Q.quads_of(order_focus(spark, sf), F.col("focus"), T.RDF_TYPE, F.lit("urn:x:type/order"), M.MAIN), Q.quads_of(customer_types(spark, sf), F.col("s"), T.RDF_TYPE, F.col("c"), M.MAIN)]
+    report = S.validate_graph(Q.union(data, *types), turtle.read_text(spark, ORDER_SHAPES, "g"))
+    return report.groupBy("shape", "path", "component", "severity", "message").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("vals"))
+
+
 SHAPES = [  # shape, class, properties (path, datatype, min), graph
     ("urn:x:PlaceShape", "urn:x:c/Place", [("urn:x:p/name", T.XSD + "string", 1), ("urn:x:p/code", T.XSD + "integer", None)], "core"),
     ("urn:x:CityShape", "urn:x:c/City", [("urn:x:p/mayor", None, 1)], "core"),
@@ -367,7 +415,7 @@ def latest_view(spark, sf):
 WHERE o_orderstatus = 'P' OR NOT regexp_matches(o_orderpriority, '^[1-3]')""".replace("CASE WHEN", f"CASE WHEN NOT regexp_matches(o_orderpriority, '^[1-3]') AND '{P}priority pattern' < 'type not admitted' THEN '{P}priority pattern' WHEN"))
 def seal_gate(spark, sf):
     o = read_table(spark, sf, "orders").select(M.iri("order", "o_orderkey").alias("id"), F.concat(F.lit("urn:x:type/"), "o_orderstatus").alias("type"))
-    report = S.violations_of(CONSTRAINTS["pattern"][0], order_focus(spark, sf), order_values(spark, sf))
+    report = _violations("pattern")(spark, sf)
     known = spark.createDataFrame([("urn:x:type/F", True), ("urn:x:type/O", True), ("urn:x:type/P", False)], "type string, admitted boolean")
     _, refused = L.gate(o, report, known)
     return refused
