@@ -14,6 +14,14 @@ OWL = "http://www.w3.org/2002/07/owl#"
 SHACL = "http://www.w3.org/ns/shacl#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
+#: Namespaces of this engine's own model.
+CORE, BOARD, WAVE = "urn:x:core#", "urn:x:board/", "urn:x:wave#"
+#: What a seal stamps on a document; claims of them are stripped.
+STAMPS = [CORE + "producedBy", CORE + "createdBy", CORE + "sealedAtEpoch", CORE + "conformsToShape"]
+INSTANCE, PARTICIPANT = "urn:x:instance:", "urn:x:participant:"
+# An absolute IRI that is safe to write, a state's name, a name of a verb or parameter.
+SAFE_IRI, STATE_NAME, VERB_NAME = r"^[A-Za-z][A-Za-z0-9+.:#/_-]*$", r"^[A-Za-z][A-Za-z0-9_-]*$", r"^[a-z][a-z0-9_.]*$"
+
 #: Kinds of a term.
 IRI, BNODE, LITERAL = 1, 2, 3
 

@@ -11,6 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.functions import bodies as B
 from quadrille.functions import terms as T
 
 OPERATORS = ["eq", "neq", "lt", "lte", "gt", "gte", "contains"]
@@ -119,11 +120,10 @@ def next_ids(ids: DataFrame, prefix: str, width: int = 4) -> DataFrame:
 
 
 def patch(docs: DataFrame, patches: DataFrame) -> DataFrame:
-    """``docs`` (id, body) with the fields of ``patches`` (id, fields: map) laid over their bodies."""
-    fields = F.from_json("body", "map<string,string>")
-    both = docs.join(patches, "id", "left")
-    merged = F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(F.map_filter(fields, lambda k, v: ~F.map_contains_key(F.coalesce("fields", F.create_map().cast("map<string,string>")), k)), F.coalesce("fields", F.create_map().cast("map<string,string>"))))))
-    return both.select("id", F.to_json(merged).alias("body"))
+    """``docs`` (id, body) with the fields of ``patches`` (id, patch: a JSON object) laid over their bodies, types kept; a patch that is no object changes nothing."""
+    both = docs.join(patches.select("id", B.fields("patch").alias("patch_fields")), "id", "left")
+    merged = B.overlaid(B.fields("body"), F.coalesce("patch_fields", B.none()))
+    return both.select("id", F.coalesce(B.canonical(merged), F.col("body")).alias("body"))
 
 
 def without_empty(fields: Column) -> Column:

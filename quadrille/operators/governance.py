@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.functions import bodies as B
 from quadrille.functions import terms as T
 from quadrille.operators.documents import Refused
 from quadrille.operators.quads import SCHEMA
+from quadrille.session import bounded
 
 FLOOR = "floor"
 # The operations that a proposal can name, and the checks that an obligation can.
@@ -31,10 +33,14 @@ def epochs(changes: DataFrame) -> DataFrame:
 
 
 def resolve_plans(plans: DataFrame, asked: DataFrame) -> DataFrame:
-    """The plan of each asked (kernel, verb): the kernel's own before the floor's, then the newest epoch."""
-    rows = asked.join(plans.withColumnRenamed("kernel", "owner"), "verb").where((F.col("owner") == F.col("kernel")) | (F.col("owner") == FLOOR))
-    order = Window.partitionBy("kernel", "verb").orderBy(F.when(F.col("owner") == F.col("kernel"), 0).otherwise(1), F.desc("epoch"))
-    return rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    """The plan of each asked (kernel, verb): the kernel's own before the floor's, then the newest epoch. Only the newest plan of an owner and verb meets what is asked for, by two equi-joins."""
+    others = [c for c in plans.columns if c not in ("kernel", "verb")]
+    newest = plans.groupBy(F.col("kernel").alias("owner"), "verb").agg(F.max_by(F.struct(*others), "epoch").alias("plan"))
+    own = asked.join(newest.withColumnRenamed("owner", "kernel"), ["kernel", "verb"]).withColumn("owner", F.col("kernel"))
+    rest = asked.join(own.select("kernel", "verb"), ["kernel", "verb"], "left_anti")
+    floor = rest.join(newest.where(F.col("owner") == FLOOR), "verb")
+    columns = [*asked.columns, "owner", "plan.*"]
+    return own.select(*columns).unionByName(floor.select(*columns))
 
 
 def transitions(log: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -48,7 +54,7 @@ def transitions(log: DataFrame, allowed: DataFrame) -> DataFrame:
     has = own.select("type").distinct().withColumn("has", F.lit(True))
     pairs = own.select("type", "from_state", "to_state").distinct().withColumn("own", F.lit(True))
     common = allowed.where("type IS NULL").select("from_state", "to_state").distinct().withColumn("common", F.lit(True))
-    rows = log.join(F.broadcast(has), "type", "left").join(F.broadcast(pairs), ["type", "from_state", "to_state"], "left").join(F.broadcast(common), ["from_state", "to_state"], "left")
+    rows = log.join(bounded(has), "type", "left").join(bounded(pairs), ["type", "from_state", "to_state"], "left").join(bounded(common), ["from_state", "to_state"], "left")
     no = F.lit(False)
     legal = F.when(F.coalesce("has", no), F.coalesce("own", no)).otherwise(F.coalesce("common", no))
     return rows.withColumn("legal", legal).withColumn("source", F.when(F.coalesce("has", no), "sealed").otherwise("fallback")).drop("has", "own", "common")
@@ -104,7 +110,7 @@ def operation_quads(spark, op: str, detail: dict, g: str) -> DataFrame:
             declare(shape, prop)
         if detail.get("closed"):
             add(shape, T.SHACL + "closed", "true", T.LITERAL, T.XSD + "boolean")
-            for path in detail.get("ignoredProperties", [T.RDF_TYPE]):
+            for path in detail.get("ignoredProperties", [T.RDF_TYPE, *T.STAMPS, T.CORE + "participant", T.BOARD + "created_at"]):
                 add(shape, T.SHACL + "ignoredProperties", iri(path))
     elif op == "set_transition_map":
         for state, following in detail["map"].items():
@@ -119,6 +125,24 @@ def operation_quads(spark, op: str, detail: dict, g: str) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def obligation(spark, detail: dict) -> DataFrame:
+    """The row of a proof obligation (target_type, obligation, check_name, active) that an accepted operation sets; an inactive one needs its name only."""
+    active = str(detail.get("active", "true")).lower() != "false"
+    if active and detail.get("check") not in CHECKS:
+        raise Refused(f"unknown check {detail.get('check')!r}")
+    if active and not re.match(T.IRI_PATTERN, str(detail.get("targetType"))):
+        raise Refused("an obligation is on a type, by its IRI")
+    return spark.createDataFrame([(detail.get("targetType"), detail["obligation"], detail.get("check"), active)], "target_type string, obligation string, check_name string, active boolean")
+
+
+def transition_rows(spark, detail: dict) -> DataFrame:
+    """The steps (type, from_state, to_state) of an accepted transition map."""
+    rows = [(detail["class"], state, to) for state, following in detail["map"].items() for to in following]
+    if any(not re.match(T.STATE_NAME, x) for _, *pair in rows for x in pair):
+        raise Refused("states are plain names")
+    return spark.createDataFrame(rows, "type string, from_state string, to_state string")
+
+
 def fenced(quads: DataFrame) -> DataFrame:
     """(p): predicates of a staged graph that are not of the vocabularies a shape graph may use."""
     allowed = F.lit(False)
@@ -152,12 +176,32 @@ def warned(report: DataFrame) -> DataFrame:
     return report.where("severity = 'Warning'").groupBy(F.col("focus").alias("id")).agg(F.count(F.lit(1)).alias("warnings"))
 
 
+def due(candidates: DataFrame, obligations: DataFrame) -> DataFrame:
+    """Candidates (id, type, …) with each active obligation (obligation, check_name) on their exact type."""
+    active = obligations.where("active").select(F.col("target_type").alias("type"), "obligation", "check_name")
+    return candidates.join(bounded(active), "type")
+
+
+def failures(candidates: DataFrame, report: DataFrame, evidence: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What each check refuses of candidates (id, body). ``evidence``: ``epochs`` (digest, epoch) that are sealed, ``quads`` of the store, ``pins`` and ``digests`` (g, digest); a check without its evidence refuses what it would look up."""
+    spark = candidates.sparkSession
+    none = lambda schema: spark.createDataFrame([], schema)
+    fields = B.fields("body")
+    cited = candidates.select("id", B.text(fields, T.CORE + "surfaceDigest").alias("digest"), B.text(fields, T.CORE + "epoch").try_cast("bigint").alias("epoch")).where("digest IS NOT NULL")
+    adopts = candidates.select("id", B.text(fields, T.CORE + "adopts").alias("adopts")).where("adopts IS NOT NULL")
+    state = drifted(evidence.get("pins", none("g string, digest string")), evidence.get("digests", none("g string, digest string")))
+    return {
+        "digest-match": unmatched_digests(cited, evidence.get("epochs", none("digest string, epoch bigint")).select("digest", F.col("epoch").cast("bigint").alias("epoch")).distinct()),
+        "adopts-resolves": unresolved_adoptions(adopts, evidence.get("quads", none("g string, inferred boolean"))),
+        "structural-pin": adopts.join(state.where("drifted").select(F.col("g").alias("adopts")), "adopts", "left_semi"),
+        "no-warnings": warned(report),
+    }
+
+
 def first_failure(candidates: DataFrame, obligations: DataFrame, failed: dict[str, DataFrame]) -> DataFrame:
     """(id, refused_by): the first active obligation, by name, whose exact type a candidate has and whose check it fails."""
-    due = candidates.join(F.broadcast(obligations.where("active").select(F.col("target_type").alias("type"), "obligation", "check_name")), "type")
-    hit: Column | None = None
-    for name, rows in failed.items():
-        due = due.join(rows.select("id").distinct().withColumn(f"_{name}", F.lit(True)), "id", "left")
-        one = (F.col("check_name") == name) & F.coalesce(F.col(f"_{name}"), F.lit(False))
-        hit = one if hit is None else hit | one
-    return due.where(hit).groupBy("id").agg(F.min("obligation").alias("refused_by"))
+    rows = None
+    for name, some in failed.items():
+        one = some.select("id", F.lit(name).alias("check_name")).distinct()
+        rows = one if rows is None else rows.unionByName(one)
+    return due(candidates, obligations).join(rows, ["id", "check_name"], "left_semi").groupBy("id").agg(F.min("obligation").alias("refused_by"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.digests import hmac_sha256, sha256
+from quadrille.operators.numbering import numbered
+from quadrille.session import bounded
 
 
 def hashed(bodies: DataFrame, key: bytes) -> DataFrame:
@@ -26,21 +28,13 @@ def chained(rows: DataFrame, partition: Column | str) -> DataFrame:
 
 
 def append(new: DataFrame, ledger: DataFrame, key: bytes) -> DataFrame:
-    """Ledger rows of ``new`` (instance_id, body, ts): numbered on from the ledger, in order of ts and id.
-
-    Numbers come from ranges of sorted partitions: counts per partition, then places within them.
-    """
+    """Ledger rows of ``new`` (instance_id, body, ts): numbered on from the ledger, in order of ts, id and body hash, without gaps."""
     top = ledger.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first().m
-    ordered = new.repartitionByRange("ts", "instance_id").sortWithinPartitions("ts", "instance_id").withColumn("pid", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = {r.pid: r.n for r in ordered.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per partition
-    before, total = {}, top
-    for pid in sorted(counts):
-        before[pid], total = total, total + counts[pid]
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("pid")) if before else F.lit(0)
-    numbered = ordered.withColumn("seq", (base + F.col("nth") + 1).cast("bigint")).drop("pid", "nth")
+    rows = hashed(new.select("instance_id", "body", "ts"), key).drop("body")
+    rows = numbered(rows, ["ts", "instance_id", "body_sha256"], top)
     previous = ledger.groupBy("instance_id").agg(F.max("seq").alias("old"))
     own = F.lag("seq").over(Window.partitionBy("instance_id").orderBy("seq"))
-    rows = hashed(numbered, key).withColumn("own", own).join(previous, "instance_id", "left")
+    rows = rows.withColumn("own", own).join(previous, "instance_id", "left")
     return rows.select("seq", "instance_id", "body_sha256", "sig", F.coalesce("own", "old").alias("prev_seq"), "ts")
 
 
@@ -81,7 +75,7 @@ def provenance(ledger: DataFrame, proofs: DataFrame) -> DataFrame:
 def stamped(candidates: DataFrame, shapes: DataFrame, epoch: int, participant: str, project: str) -> DataFrame:
     """Candidates (id, type, …) with the server's stamps; ``conforms_to`` is null where no shape targets the type."""
     by_type = shapes.groupBy(F.col("target").alias("type")).agg(F.min("shape").alias("conforms_to"))
-    return candidates.join(F.broadcast(by_type), "type", "left").withColumn("produced_by", F.lit(project)).withColumn("created_by", F.lit(participant)).withColumn("sealed_at_epoch", F.lit(epoch).cast("bigint"))
+    return candidates.join(bounded(by_type), "type", "left").withColumn("produced_by", F.lit(project)).withColumn("created_by", F.lit(participant)).withColumn("sealed_at_epoch", F.lit(epoch).cast("bigint"))
 
 
 def gate(candidates: DataFrame, report: DataFrame, admitted: DataFrame) -> tuple[DataFrame, DataFrame]:

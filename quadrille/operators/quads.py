@@ -88,20 +88,32 @@ def turtle_lines(quads: DataFrame) -> DataFrame:
     return quads.select("g", F.concat_ws(" ", rendered(F.col("s_kind"), F.col("s")), F.concat(F.lit("<"), F.col("p"), F.lit(">")), rendered(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")), F.lit(".")).alias("line"))
 
 
-def _line_digest(lines: Column) -> Column:
-    return F.sha2(F.array_join(F.sort_array(F.collect_list(lines)), "\n"), 256)
+#: Hex digits of a line's hash that tell its leaf, and of a leaf that tell its branch, in a digest tree.
+LEAF, BRANCH = 5, 2
+
+
+def tree_digest(lines: DataFrame, by: list[str]) -> DataFrame:
+    """(by, digest): SHA-256 over the ``line`` values of each key, as a tree, so that no group holds a whole graph.
+
+    A leaf is the sorted lines whose hashes begin alike; a branch is its sorted leaves, the root its branches, each as
+    ``name digest`` lines. The order and the partitions of the rows do not matter; repeated lines do.
+    """
+    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
+    leaves = lines.withColumn("leaf", F.substring(F.sha2("line", 256), 1, LEAF)).groupBy(*by, "leaf").agg(joined("line").alias("d"))
+    branches = leaves.groupBy(*by, F.substring("leaf", 1, BRANCH).alias("branch")).agg(joined(F.concat_ws(" ", "leaf", "d")).alias("d"))
+    return branches.groupBy(*by).agg(joined(F.concat_ws(" ", "branch", "d")).alias("digest"))
 
 
 def copy_digest(quads: DataFrame) -> DataFrame:
-    """(g, digest): SHA-256 of a graph's sorted ``s|p|o`` lines, closure included. For shape graphs, of some thousand quads."""
-    return quads.groupBy("g").agg(_line_digest(F.concat_ws("|", "s", "p", "o")).alias("digest"))
+    """(g, digest) of each graph's ``s|p|o`` lines, closure included."""
+    return tree_digest(quads.select("g", F.concat_ws("|", "s", "p", "o").alias("line")), ["g"])
 
 
 def structural_digest(quads: DataFrame) -> DataFrame:
     """(g, digest) that no renaming of blank nodes changes, asserted quads only.
 
-    Lines without blank nodes count as they are; each blank node counts as the sorted lines around it, in which
-    it is ``_:self`` and other blank nodes are ``_:other``. A line between two blank nodes counts for both.
+    Lines without blank nodes count as they are; each blank node counts as the digest of the lines around it, in
+    which it is ``_:self`` and other blank nodes are ``_:other``. A line between two blank nodes counts for both.
     """
     q = quads.where("NOT inferred")
     term = lambda kind, value, *more: F.when(kind == T.BNODE, F.lit("_:other")).otherwise(rendered(kind, value, *more))
@@ -112,8 +124,8 @@ def structural_digest(quads: DataFrame) -> DataFrame:
     # two equi-selections instead of a join on either end
     own_s = q.where(blank_s).select("g", F.col("s").alias("b"), F.concat_ws(" ", F.lit("_:self"), p, F.when(blank_o & (F.col("o") == F.col("s")), F.lit("_:self")).otherwise(o)).alias("line"))
     own_o = q.where(blank_o & ~(blank_s & (F.col("o") == F.col("s")))).select("g", F.col("o").alias("b"), F.concat_ws(" ", s, p, F.lit("_:self")).alias("line"))
-    nodes = own_s.unionByName(own_o).groupBy("g", "b").agg(_line_digest(F.col("line")).alias("line")).select("g", "line")
-    return ground.unionByName(nodes).groupBy("g").agg(_line_digest(F.col("line")).alias("digest"))
+    nodes = tree_digest(own_s.unionByName(own_o), ["g", "b"]).select("g", F.col("digest").alias("line"))
+    return tree_digest(ground.unionByName(nodes), ["g"])
 
 
 def grounding(quads: DataFrame) -> DataFrame:

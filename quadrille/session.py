@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str = "quadrille") -> SparkSession:
@@ -27,13 +28,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """``rows`` marked for broadcast if they are counted to be at most ``most``; else they are joined by shuffle."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where it is unset (tests), one of our own."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, one of our own, but only if all runs on this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
