@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quadrille.llm.tables import checkpointed
@@ -24,8 +24,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours point to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pointed = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        edges = checkpointed(pointed.where("u != v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # what tells one round's edges from another's is observed while they are written
+        seen = Observation()
+        edges = checkpointed(pointed.where("u != v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+        now = seen.get
         if now == before:
             break
         before = now

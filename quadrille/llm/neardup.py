@@ -8,9 +8,10 @@
    a pair within MARGIN standard errors of the threshold passes. What does not pass meets the rest of its bucket in
    cells of bounded size; a cell gives back links that span what passes among its members, not all pairs.
 4. Families are components of the links that passed, so texts that merely share a template or a quote form none.
-   A family of one cell is confirmed there, on full sets. In a larger one the links themselves are confirmed first;
-   then only members outside the family's largest component meet the others, in cells of bounded size. So a group of
-   many copies costs in proportion to its size, and no pair that could join two components is left out.
+   A family of up to PLAIN parts is confirmed on full sets in cells of two parts. In a larger one the links
+   themselves are confirmed first; then only members outside the family's largest component meet the others, in
+   cells. So a group of many copies costs in proportion to its size, and no pair that could join two components is
+   left out.
 5. Components over the confirmed links; each document gets the smallest doc_id of its component.
 
 A pair at a threshold of 0.85 shares no band with probability (1 - 0.85**7)**40 = 2e-7 (0.8: 8e-5).
@@ -41,6 +42,8 @@ LANES = BANDS * ROWS
 MARGIN = 5.0
 #: Members and shingles that a part of a bucket or family has, about; two parts meet in a cell.
 CELL, CELL_SHINGLES = 1024, 1 << 20
+#: Parts of a family up to which all of them meet.
+PLAIN = 8
 #: Pairs for each member of a cell up to which they are confirmed one by one, and not by a matrix product.
 SINGLY = 8
 
@@ -274,8 +277,9 @@ def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
     met = checkpointed(met.select("id", "pivot", (similar_lanes(F.col("packed"), F.col("pivot_packed")) >= least_lanes(percent)).alias("passes")))
     # buckets of three or more with a class that did not pass its pivot
     failed = met.where("NOT passes").select("id", "pivot")
-    open_keys = placed.where("size > 2").join(failed, ["id", "pivot"]).select("key").distinct()
-    open_rows = placed.where("size > 2 AND id != pivot").join(open_keys, "key", "left_semi").join(met, ["id", "pivot"]).select("key", "id", "pivot", (~F.col("passes")).alias("rest"))
+    open_keys = checkpointed(placed.where("size > 2").join(failed, ["id", "pivot"]).select("key").distinct())
+    open_rows = placed.where("size > 2 AND id != pivot").join(open_keys, "key", "left_semi").join(failed.withColumn("failed", F.lit(True)), ["id", "pivot"], "left")
+    open_rows = checkpointed(open_rows.select("key", "id", "pivot", F.coalesce("failed", F.lit(False)).alias("rest")))
     pivots = open_rows.select("key", F.col("pivot").alias("id"), "pivot", F.lit(False).alias("rest")).distinct()
     members = open_rows.unionByName(pivots).join(signed, "id").select("key", "id", "rest", F.lit(1).alias("weight"), F.when(F.col("rest"), F.col("id")).otherwise(F.col("pivot")).alias("group"), "packed")
     return met.where("passes").select(F.col("id").alias("a"), F.col("pivot").alias("b")).unionAll(_cells(dealt(members, "key"), "key", percent)).distinct()
@@ -287,7 +291,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, links: DataFrame, width
     members = checkpointed(families.join(classes.select("id", "n", "packed"), "id"))
     sets = full_sets(docs, members.select("id"), width, is_word)
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
-    large = checkpointed(sizes.where((F.col("size") > CELL) | (F.col("weight") > CELL_SHINGLES)).select("family"))
+    large = checkpointed(sizes.where((F.col("size") > PLAIN * CELL) | (F.col("weight") > PLAIN * CELL_SHINGLES)).select("family"))
     whole = members.join(large, "family", "left_anti").withColumns({"rest": F.lit(True), "group": F.col("id")})
     if large.isEmpty():
         sure, every = None, whole
