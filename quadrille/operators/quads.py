@@ -17,10 +17,10 @@ COLUMNS = ["g", "s", "p", "o", "s_kind", "o_kind", "o_dt", "o_lang", "inferred"]
 SCHEMA = "g string, s string, p string, o string, s_kind int, o_kind int, o_dt string, o_lang string, inferred boolean"
 
 
-def quads_of(rows: DataFrame, s: Column, p: str | Column, o: Column, g: str | Column, o_kind: int | Column = T.IRI, o_dt: str | None = None) -> DataFrame:
+def quads_of(rows: DataFrame, s: Column, p: str | Column, o: Column, g: str | Column, o_kind: int | Column = T.IRI, o_dt: str | None = None, s_kind: int = T.IRI) -> DataFrame:
     """One quad per row whose subject and object are not null."""
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    out = rows.select(as_col(g).alias("g"), s.alias("s"), as_col(p).alias("p"), o.cast("string").alias("o"), F.lit(T.IRI).alias("s_kind"), as_col(o_kind).cast("int").alias("o_kind"), F.lit(o_dt).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"), F.lit(False).alias("inferred"))
+    out = rows.select(as_col(g).alias("g"), s.alias("s"), as_col(p).alias("p"), o.cast("string").alias("o"), F.lit(s_kind).alias("s_kind"), as_col(o_kind).cast("int").alias("o_kind"), F.lit(o_dt).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"), F.lit(False).alias("inferred"))
     return out.where(F.col("s").isNotNull() & F.col("o").isNotNull())
 
 
@@ -129,19 +129,26 @@ def structural_digest(quads: DataFrame) -> DataFrame:
 
 
 def grounding(quads: DataFrame) -> DataFrame:
-    """Census of each graph in one aggregation."""
+    """Census of each graph: one aggregation of counts, and the few distinct nodes beside it."""
     blank = (F.col("s_kind") == T.BNODE) | (F.col("o_kind") == T.BNODE)
     told = ~F.col("inferred")
-    return quads.groupBy("g").agg(
+    counts = quads.groupBy("g").agg(
         F.count_if(told).alias("asserted"),
         F.count_if("inferred").alias("inferred"),
         F.count_if(told & ~blank).alias("ground"),
         F.count_if(told & blank).alias("blank"),
-        F.count_distinct(F.when(told & (F.col("s_kind") == T.BNODE), F.col("s"))).alias("blank_nodes"),
-        F.count_distinct(F.when(told & (F.col("p") == T.RDF_TYPE) & (F.col("o") == T.SHACL + "NodeShape"), F.col("s"))).alias("nodeshapes"),
         F.count_if(told & (F.col("p") == T.SHACL + "property")).alias("property_shapes"),
-        F.count_distinct(F.when(told & (F.col("p") == T.SHACL + "path"), F.col("o"))).alias("declared_properties"),
     )
+    nodes = {
+        "blank_nodes": (F.col("s_kind") == T.BNODE, "s"),
+        "nodeshapes": ((F.col("p") == T.RDF_TYPE) & (F.col("o") == T.SHACL + "NodeShape"), "s"),
+        "declared_properties": (F.col("p") == T.SHACL + "path", "o"),
+    }
+    for name, (condition, node) in nodes.items():
+        some = quads.where(told & condition).select("g", node).distinct().groupBy("g").agg(F.count(F.lit(1)).alias(name))
+        counts = counts.join(some, "g", "left")
+    zero = [F.coalesce(n, F.lit(0)).alias(n) for n in nodes]
+    return counts.select("g", "asserted", "inferred", "ground", "blank", zero[0], zero[1], "property_shapes", zero[2])
 
 
 def direct_and_inferred(quads: DataFrame) -> DataFrame:

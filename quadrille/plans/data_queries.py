@@ -116,11 +116,11 @@ def snapshot_bodies(spark, sf):
     return M.event_bodies(spark, sf).select(F.col("seq").alias("id"), "body").orderBy("id")
 
 
-@query("instance_update", """SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN '{"id":"' || event_id || '","state":"done","type":"patched","user":"' || user_id || '"}'
-ELSE '{"id":"' || event_id || '","type":"' || event_type || '","user":"' || user_id || '"}' END AS body FROM events""")
+@query("instance_update", """SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN '{"id":' || event_id || ',"o":{"k":[1,2.5]},"ok":true,"state":"done","type":"patched","user":' || user_id || '}'
+ELSE '{"id":' || event_id || ',"type":"' || event_type || '","user":' || user_id || '}' END AS body FROM events""")
 def instance_update(spark, sf):
     docs = M.event_bodies(spark, sf).select(F.col("seq").alias("id"), "body")
-    patches = docs.where("id % 10 = 0").select("id", F.create_map(F.lit("state"), F.lit("done"), F.lit("type"), F.lit("patched")).alias("fields"))
+    patches = docs.where("id % 10 = 0").select("id", F.lit('{"type":"patched","ok":true,"state":"done","o":{"k":[1,2.5]}}').alias("patch"))
     return O.patch(docs, patches)
 
 
@@ -323,6 +323,14 @@ def surface_explain(spark, sf):
     return S.explained(surface(spark), spark.createDataFrame([("urn:x:c/City",)], "type string"))
 
 
+@query("declared_predicates", "SELECT 'urn:y:p/name' AS predicate")
+def declared_predicates(spark, sf):
+    """The paths that the kernel's own shapes declare."""
+    from quadrille.dispatch import declared_predicates as declared
+
+    return declared(surface(spark), "kernel")
+
+
 @query("affordance_schema", "SELECT * FROM (VALUES ('urn:x:PlaceShape', 'urn:x:p/name', 'http://www.w3.org/2001/XMLSchema#string', 1), ('urn:x:PlaceShape', 'urn:x:p/code', 'http://www.w3.org/2001/XMLSchema#integer', NULL)) t(shape, path, datatype, min_count)")
 def affordance_schema(spark, sf):
     return S.property_shapes(surface(spark)).where("shape = 'urn:x:PlaceShape'").select("shape", "path", "datatype", "min_count")
@@ -368,11 +376,19 @@ def ledger_chain(spark, sf):
     return ledger_of(spark, sf).select("seq", "instance_id", "prev_seq")
 
 
-@query("ledger_append", f"WITH {M.BODIES_SQL}, old AS (SELECT * FROM bodies WHERE seq <= 500), n AS (SELECT max(seq) AS m FROM old) SELECT m + row_number() OVER (ORDER BY ts, instance_id, body) AS seq, sha256(body) AS body_sha256 FROM bodies, n WHERE seq > 500")
+@query("ledger_append", f"WITH {M.BODIES_SQL}, old AS (SELECT * FROM bodies WHERE type <> 'purchase'), n AS (SELECT max(seq) AS m FROM old) SELECT m + row_number() OVER (ORDER BY ts, instance_id, sha256(body)) AS seq, sha256(body) AS body_sha256 FROM bodies, n WHERE type = 'purchase'")
 def ledger_append(spark, sf):
     b = M.event_bodies(spark, sf)
-    old = ledger_of(spark, sf).where("seq <= 500").select("seq", "instance_id", "body_sha256", "sig", "prev_seq", "ts")
-    return L.append(b.where("seq > 500").select("instance_id", "body", "ts"), old, M.KEY).select("seq", "body_sha256")
+    old = ledger_of(spark, sf).where("type != 'purchase'").select("seq", "instance_id", "body_sha256", "sig", "prev_seq", "ts")
+    return L.append(b.where("type = 'purchase'").select("instance_id", "body", "ts"), old, M.KEY).select("seq", "body_sha256")
+
+
+@query("ledger_append_ties", f"""WITH {M.BODIES_SQL}, n AS (SELECT row_number() OVER (ORDER BY instance_id, sha256(body)) AS seq, instance_id, sha256(body) AS body_sha256 FROM bodies)
+SELECT seq, instance_id, body_sha256, lag(seq) OVER (PARTITION BY instance_id ORDER BY seq) AS prev_seq FROM n""")
+def ledger_append_ties(spark, sf):
+    """All events sealed at one moment: order by id and body hash, numbers without gaps."""
+    rows = M.event_bodies(spark, sf).select("instance_id", "body", F.lit("2025-01-01").cast("timestamp").alias("ts"))
+    return L.append(rows, ledger_of(spark, sf).where("seq < 0").select("seq", "instance_id", "body_sha256", "sig", "prev_seq", "ts"), M.KEY).select("seq", "instance_id", "body_sha256", "prev_seq")
 
 
 @query("verify_instances", f"""WITH {M.BODIES_SQL}, last AS (SELECT instance_id, max(seq) AS seq FROM bodies GROUP BY 1)
@@ -517,10 +533,16 @@ def plan_resolution(spark, sf):
     return G.resolve_plans(newest, asked).select("kernel", "verb", "owner", "epoch")
 
 
-@query("registry_lookup", """SELECT k::VARCHAR AS kernel, CASE WHEN k < 3 THEN k::VARCHAR ELSE 'floor' END AS owner FROM range(5) t(k)""")
+@query("registry_lookup", """WITH reg AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'floor' ELSE c_nationkey::VARCHAR END AS owner, 'do.' || (c_custkey % 40) AS verb, max(c_custkey) AS epoch FROM customer GROUP BY 1, 2),
+asked AS (SELECT DISTINCT n_nationkey::VARCHAR AS kernel, 'do.' || v AS verb FROM nation, range(40) t(v))
+SELECT a.kernel, a.verb, coalesce(o.owner, f.owner) AS owner, coalesce(o.epoch, f.epoch) AS epoch FROM asked a LEFT JOIN reg o ON o.owner = a.kernel AND o.verb = a.verb
+LEFT JOIN reg f ON f.owner = 'floor' AND f.verb = a.verb WHERE o.owner IS NOT NULL OR f.owner IS NOT NULL""")
 def registry_lookup(spark, sf):
-    plans = spark.createDataFrame([("0", "germinate", 1), ("1", "germinate", 4), ("2", "germinate", 2), ("floor", "germinate", 9)], "kernel string, verb string, epoch int")
-    return G.resolve_plans(plans, spark.range(5).select(F.col("id").cast("string").alias("kernel"), F.lit("germinate").alias("verb"))).select("kernel", "owner")
+    c = read_table(spark, sf, "customer")
+    owner = F.when(F.col("c_custkey") % 3 == 0, F.lit(G.FLOOR)).otherwise(F.col("c_nationkey").cast("string"))
+    plans = c.select(owner.alias("kernel"), F.concat(F.lit("do."), (F.col("c_custkey") % 40).cast("string")).alias("verb"), F.col("c_custkey").alias("epoch"))
+    asked = read_table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("kernel"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("v"))
+    return G.resolve_plans(plans, asked.select("kernel", F.concat(F.lit("do."), F.col("v").cast("string")).alias("verb"))).select("kernel", "verb", "owner", "epoch")
 
 
 PAIRS = [("click", "view"), ("view", "purchase"), ("view", "click"), ("signup", "view"), ("planned", "signup"), ("planned", "view")]
@@ -554,11 +576,12 @@ def transition_fallback(spark, sf):
     return _transitions(spark, sf, False).groupBy("source", "legal").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("obligation_digest_match", """SELECT event_id AS id, event_type AS digest, user_id AS epoch FROM events WHERE event_id % 5 = 0 AND (event_type, user_id + 1) NOT IN (SELECT event_type, user_id FROM events WHERE event_id % 5 = 1)""".replace("user_id AS epoch", "user_id + 1 AS epoch"))
+@query("obligation_digest_match", """SELECT event_id AS id, user_id::VARCHAR AS digest, floor(value / 50)::BIGINT AS epoch FROM events WHERE event_type <> 'view'
+AND (user_id, floor(value / 50)::BIGINT) NOT IN (SELECT user_id, floor(value / 50)::BIGINT FROM events WHERE event_type = 'view' AND value IS NOT NULL) AND value IS NOT NULL""")
 def obligation_digest_match(spark, sf):
-    e = read_table(spark, sf, "events")
-    claims = e.where("event_id % 5 = 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("digest"), (F.col("user_id") + 1).alias("epoch"))
-    return G.unmatched_digests(claims, e.where("event_id % 5 = 1").select(F.col("event_type").alias("digest"), F.col("user_id").alias("epoch")).distinct())
+    """Views seal an epoch, all other events cite one."""
+    e = read_table(spark, sf, "events").where("value IS NOT NULL").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("digest"), F.floor(F.col("value") / 50).cast("bigint").alias("epoch"), "event_type")
+    return G.unmatched_digests(e.where("event_type != 'view'"), e.where("event_type = 'view'").select("digest", "epoch").distinct())
 
 
 @query("obligation_adopts_resolves", "SELECT doc_id AS id, source AS adopts FROM documents WHERE source NOT IN (SELECT d.source FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1 AND l.quality = 0)")
@@ -568,13 +591,11 @@ def obligation_adopts(spark, sf):
     return G.unresolved_adoptions(d.select(F.col("doc_id").alias("id"), F.col("source").alias("adopts")), graphs).select("id", "adopts")
 
 
-@query("obligation_structural_pin", f"""WITH {M.SMALL_SQL}, lines AS (SELECT g, '<' || s || '> <' || p || '> ' || CASE o_kind WHEN 1 THEN '<' || o || '>' ELSE '"' || o || '"' END AS l FROM small),
-now AS (SELECT g, sha256(string_agg(l, chr(10) ORDER BY l)) AS d FROM lines GROUP BY g) SELECT g, d AS digest_now, g <> '{M.MAIN}' AS drifted FROM now
-UNION ALL SELECT 'urn:x:g/gone', NULL, true""")
+@query("obligation_structural_pin", f"""WITH {M.STRUCTURE_SQL} SELECT g, digest AS digest_now, g <> '{M.MAIN}' AS drifted FROM structure UNION ALL SELECT 'urn:x:g/gone', NULL, true""")
 def obligation_structural_pin(spark, sf):
     from quadrille.operators.quads import structural_digest
 
-    now = structural_digest(M.small_quads(spark, sf))
+    now = structural_digest(M.quads(spark, sf))
     pins = now.withColumn("digest", F.when(F.col("g") == M.MAIN, F.col("digest")).otherwise(F.lit("old"))).unionAll(spark.createDataFrame([("urn:x:g/gone", "old")], "g string, digest string"))
     return G.drifted(pins, now).select("g", "digest_now", "drifted")
 
@@ -617,9 +638,9 @@ def fleet_adoptions(spark, sf):
     return A.fleet(_adoptions(spark, sf), _supersessions(spark, sf), graphs, spark.createDataFrame([("src1", "d")], "g string, digest string"))
 
 
-@query("integrity_dangling", "SELECT 'dangling' AS check_name, user_id::VARCHAR AS subject, (user_id * 10)::VARCHAR AS detail FROM (SELECT DISTINCT user_id FROM events) WHERE user_id * 10 NOT IN (SELECT c_custkey FROM customer)")
+@query("integrity_dangling", "SELECT 'dangling' AS check_name, user_id::VARCHAR AS subject, (user_id * 50)::VARCHAR AS detail FROM (SELECT DISTINCT user_id FROM events) WHERE user_id * 50 NOT IN (SELECT c_custkey FROM customer)")
 def integrity_dangling(spark, sf):
-    refs = read_table(spark, sf, "events").select("user_id", (F.col("user_id") * 10).alias("ref")).distinct()
+    refs = read_table(spark, sf, "events").select("user_id", (F.col("user_id") * 50).alias("ref")).distinct()
     return A.dangling(refs, "ref", read_table(spark, sf, "customer"), "c_custkey", "dangling", "user_id")
 
 

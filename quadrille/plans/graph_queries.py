@@ -10,6 +10,7 @@ from quadrille.operators import closure as C
 from quadrille.operators import entail as E
 from quadrille.operators import pattern as P
 from quadrille.operators import quads as Q
+from quadrille.operators.numbering import numbered
 from quadrille.plans import model as M
 from quadrille.session import read_table
 
@@ -40,17 +41,14 @@ def reach_transitive(spark, sf):
     return dispatch(ctx, "instance.reach", {"from": "urn:x:region/1", "via": M.CONTAINS}).select("node")
 
 
-@query("reach_cycle", """WITH RECURSIVE e AS (SELECT DISTINCT user_id % 40 AS s, (user_id * 7 + 3) % 40 AS o FROM events),
+@query("reach_cycle", """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS s, user_id - user_id % 5 + (user_id + 1) % 5 AS o FROM events),
 r(s, o) AS (SELECT s, o FROM e UNION SELECT r.s, e.o FROM r JOIN e ON e.s = r.o)
 SELECT s::BIGINT AS src, o::BIGINT AS dst FROM r""")
 def reach_cycle(spark, sf):
-    e = read_table(spark, sf, "events").select((F.col("user_id") % 40).alias("src"), ((F.col("user_id") * 7 + 3) % 40).alias("dst"))
-    return C.closure(e).pairs.select("src", "dst")
-
-
-@query("declared_predicates", f"WITH {M.QUADS_SQL} SELECT DISTINCT p AS predicate FROM quads")
-def declared_predicates(spark, sf):
-    return M.quads(spark, sf).select(F.col("p").alias("predicate")).distinct()
+    """All users, in rings of five; rounds go on until one finds nothing."""
+    u = F.col("user_id")
+    e = read_table(spark, sf, "events").select(u.alias("src"), (u - u % 5 + (u + 1) % 5).alias("dst"))
+    return C.closure(e, max_depth=None).pairs.select("src", "dst")
 
 
 @query("bgp_two_hop", f"""WITH {M.QUADS_SQL} SELECT DISTINCT a.s AS region, b.o AS customer FROM quads a JOIN quads b ON a.o = b.s
@@ -219,27 +217,25 @@ def explain_direct_vs_inferred(spark, sf):
 # --- digests, census, documents as quads ---------------------------------------------------------------------
 
 
-@query("copy_digest", f"WITH {M.SMALL_SQL} SELECT g, sha256(string_agg(s || '|' || p || '|' || o, chr(10) ORDER BY s || '|' || p || '|' || o)) AS digest FROM small GROUP BY g")
+@query("copy_digest", f"WITH {M.QUADS_SQL}, lines AS (SELECT g, s || '|' || p || '|' || o AS line FROM quads), {M.tree_sql('digests', 'lines', 'g')} SELECT g, digest FROM digests")
 def copy_digest(spark, sf):
-    return Q.copy_digest(M.small_quads(spark, sf))
+    return Q.copy_digest(M.quads(spark, sf))
 
 
-@query("structural_digest", f"""WITH {M.SMALL_SQL}, lines AS (SELECT g, '<' || s || '> <' || p || '> ' || CASE o_kind WHEN 1 THEN '<' || o || '>' ELSE '"' || o || '"' END AS l FROM small)
-SELECT g, sha256(string_agg(l, chr(10) ORDER BY l)) AS digest FROM lines GROUP BY g""")
+@query("structural_digest", f"WITH {M.STRUCTURE_SQL} SELECT g, digest FROM structure")
 def structural_digest(spark, sf):
-    return Q.structural_digest(M.small_quads(spark, sf))
+    return Q.structural_digest(M.quads(spark, sf))
 
 
-@query("surface_grounding", f"""WITH {M.QUADS_SQL} SELECT g, count(*) AS asserted, 0::BIGINT AS inferred, count(*) AS ground, 0::BIGINT AS blank, 0::BIGINT AS blank_nodes,
-0::BIGINT AS nodeshapes, 0::BIGINT AS property_shapes, 0::BIGINT AS declared_properties FROM quads GROUP BY g""")
+@query("surface_grounding", f"""WITH {M.QUADS_SQL} SELECT g, count(*) AS asserted, 0::BIGINT AS inferred, count(*) FILTER (s_kind <> 2 AND o_kind <> 2) AS ground, count(*) FILTER (s_kind = 2 OR o_kind = 2) AS blank,
+count(DISTINCT s) FILTER (s_kind = 2) AS blank_nodes, 0::BIGINT AS nodeshapes, 0::BIGINT AS property_shapes, 0::BIGINT AS declared_properties FROM quads GROUP BY g""")
 def surface_grounding(spark, sf):
     return Q.grounding(M.quads(spark, sf))
 
 
-@query("compose_surface", f"WITH {M.QUADS_SQL} SELECT DISTINCT 'urn:x:g/all' AS g, s, p, o FROM quads WHERE p <> '{M.CONTAINS}'")
+@query("compose_surface", f"WITH {M.QUADS_SQL} SELECT DISTINCT 'urn:x:g/all' AS g, s, p, o FROM quads")
 def compose_surface(spark, sf):
-    q = M.quads(spark, sf).where(F.col("p") != M.CONTAINS)
-    return Q.compose(q, "urn:x:g/all", M.MAIN, M.ALT).select("g", "s", "p", "o")
+    return Q.compose(M.quads(spark, sf), "urn:x:g/all", M.MAIN, M.ALT).select("g", "s", "p", "o")
 
 
 @query("body_to_quads", f"""SELECT 'urn:x:event/' || event_id AS s, '{TYPE}' AS p, 'urn:x:type/' || event_type AS o, NULL AS o_dt FROM events
@@ -295,10 +291,8 @@ def verb_canon(spark, sf):
 
 @query("dict_intern", "SELECT iri, row_number() OVER (ORDER BY first, iri) AS handle FROM (SELECT p_name AS iri, min(p_partkey) AS first FROM part GROUP BY p_name)")
 def dict_intern(spark, sf):
-    from pyspark.sql import Window
-
     first = read_table(spark, sf, "part").groupBy(F.col("p_name").alias("iri")).agg(F.min("p_partkey").alias("first"))
-    return first.select("iri", F.row_number().over(Window.orderBy("first", "iri")).cast("bigint").alias("handle"))
+    return numbered(first, ["first", "iri"], name="handle").select("iri", "handle")
 
 
 @query("subject_match", "SELECT event_type, count(*) AS n FROM events WHERE regexp_matches('event.kernel.' || user_id || '.' || event_type || '.sealed', '^event\\.kernel\\.[^.]+\\.click\\..+$') GROUP BY event_type")
