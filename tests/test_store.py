@@ -53,9 +53,9 @@ def test_match(spark):
 
 
 def test_patch_and_allocate(spark):
-    d = spark.createDataFrame([("a", '{"x":"1","y":"2"}'), ("b", '{"x":"3"}')], "id string, body string")
-    p = spark.createDataFrame([("a", {"y": "9", "z": "8"})], "id string, fields map<string,string>")
-    assert {r.id: r.body for r in O.patch(d, p).collect()} == {"a": '{"x":"1","y":"9","z":"8"}', "b": '{"x":"3"}'}
+    d = spark.createDataFrame([("a", '{"x":1,"y":"2","b":true,"o":{"k":[1,2]}}'), ("b", '{"x":"3"}'), ("c", '{"n":1.5}'), ("d", "[1]")], "id string, body string")
+    p = spark.createDataFrame([("a", '{"y":9,"z":"8","n":null}'), ("c", "[7]"), ("d", '{"x":1}'), ("none", '{"x":1}')], "id string, patch string")
+    assert {r.id: r.body for r in O.patch(d, p).collect()} == {"a": '{"b":true,"n":null,"o":{"k":[1,2]},"x":1,"y":9,"z":"8"}', "b": '{"x":"3"}', "c": '{"n":1.5}', "d": "[1]"}
     tasks = spark.createDataFrame([("k", 4)], "kernel string, queue_seq int")
     new = spark.createDataFrame([("k", "t2"), ("k", "t1"), ("m", "t3")], "kernel string, task_id string")
     assert sorted(map(tuple, O.allocate(tasks, new).collect())) == [("k", "t1", 5), ("k", "t2", 6), ("m", "t3", 1)]
