@@ -69,9 +69,9 @@ class Context:
         return sealing.Who(self.project, self.requester, self.key, self.epoch)
 
     def absorb(self, sealed: sealing.Sealed) -> None:
-        """Hold what a seal adds: new versions replace documents, all else is appended."""
+        """Hold what a seal adds: new versions replace documents, all else is appended. Documents are checkpointed, so that plans don't grow with the calls."""
         plus = lambda old, new: new if old is None else old.unionByName(new, allowMissingColumns=True)
-        rest = None if self.docs is None else self.docs.join(sealed.instances.select("id"), "id", "left_anti")
+        rest = None if self.docs is None else self.docs.join(sealed.instances.select("id"), "id", "left_anti").checkpoint()
         self.docs, self.ledger, self.proofs = plus(rest, sealed.instances), plus(self.ledger, sealed.ledger), plus(self.proofs, sealed.proofs)
         self.quads, self.events = plus(self.quads, sealed.quads), plus(self.events, sealed.events)
 

@@ -145,7 +145,7 @@ def seal(candidates: DataFrame, ledger: DataFrame, surface: Surface, who: Who, n
     told = entries.join(good.withColumnRenamed("id", "instance_id").drop("ts"), "instance_id").withColumn("created_by", F.lit(who.iri))
     out_of = stamped.where("reason IS NOT NULL").select("rid", "id", "reason").unionByName(rows.join(refused, "id").select("rid", "id", "reason"))
     warnings = report.where("severity != 'Violation'").select(F.col("focus").alias("id"), "path", "component", "message").join(good.select("id"), "id", "left_semi")
-    return Sealed(good.select("id", "type", "body", "ts"), entries, Q.union(*proofs), quads.join(good.select(F.col("id").alias("s")), "s", "left_semi").select(*Q.COLUMNS), outbox.events(told, who.project), out_of, warnings)
+    return Sealed(good.select("id", "type", "body", "ts"), entries, Q.union(*proofs).checkpoint(), quads.join(good.select(F.col("id").alias("s")), "s", "left_semi").select(*Q.COLUMNS), outbox.events(told, who.project), out_of, warnings)
 
 
 def append_to(folder: str, sealed: Sealed) -> None:
