@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import terms as T
 from quadrille.operators import audits as A
+from quadrille.operators import boot
 from quadrille.operators import derived as D
 from quadrille.operators import governed as V
 from quadrille.operators import ledger as L
@@ -120,6 +121,21 @@ def queue_waiting(spark, sf):
     return D.waiting(jobs, plans.join(done, "concept")).select("plan", "concept", "enqueued_at")
 
 
+@query("registry_refresh", """SELECT c_mktsegment AS kernel, 'do.' || (c_custkey % 10) AS verb, 'urn:x:a/' || max(c_custkey) AS affordance, max(c_custkey)::INTEGER AS epoch, arg_max(CASE WHEN c_custkey % 2 = 0 THEN 'query' ELSE 'instance' END, c_custkey) AS plane,
+arg_max(c_custkey % 3 = 0, c_custkey) AS delegate FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1, 2""")
+def registry_refresh(spark, sf):
+    """Customers as affordances; every seventh has a topic that is no route."""
+    c, g, k = read_table(spark, sf, "customer"), "urn:x:g/a", F.col("c_custkey")
+    node = M.iri("a", "c_custkey")
+    topic = F.when(k % 7 == 0, F.lit("output.kernel.x")).otherwise(TEXT("input.kernel.", F.col("c_mktsegment"), ".action.do.", k % 10))
+    lit = lambda rows, prop, value: Q.quads_of(rows, node, C + prop, value, g, T.LITERAL)
+    q = Q.union(
+        Q.quads_of(c, node, T.RDF_TYPE, F.lit(C + "Affordance"), g), lit(c, "inTopic", topic), lit(c, "epoch", TEXT(k, "^^<int>")),
+        lit(c.where(k % 2 == 0), "plane", F.lit("query")), lit(c, "delegate", F.when(k % 3 == 0, "true").otherwise("false")),
+    )
+    return boot.registry(q).select("kernel", "verb", "affordance", "epoch", "plane", "delegate")
+
+
 # --- audits of sealed documents ------------------------------------------------------------------------------------
 
 
