@@ -61,9 +61,8 @@ def values(quads: DataFrame) -> DataFrame:
     return quads.select(F.col("s").alias("focus"), F.col("p").alias("path"), "o", "o_kind", "o_dt").distinct()
 
 
-def _lexical(datatype: Column, text: Column) -> Column:
-    """Whether a text is in the datatype's lexical space; datatypes other than these take any."""
-    name = F.regexp_replace(datatype, "^.*#", "")
+def _lexical(name: Column, text: Column) -> Column:
+    """Whether a text is in the lexical space of the datatype of this local name; datatypes other than these take any."""
     number = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)"
     return (
         F.when(name == "integer", text.rlike(r"^[+-]?[0-9]+$"))
@@ -77,12 +76,12 @@ def _lexical(datatype: Column, text: Column) -> Column:
 
 def _fails() -> Column:
     """Whether a value fails its constraint, for the components that look at one value alone."""
-    o, kind, arg = F.col("o"), F.col("o_kind"), F.col("value")
+    o, kind, arg, name = F.col("o"), F.col("o_kind"), F.col("value"), F.col("name")
     kinds = {"IRI": [T.IRI], "BlankNode": [T.BNODE], "Literal": [T.LITERAL], "BlankNodeOrIRI": [T.IRI, T.BNODE], "BlankNodeOrLiteral": [T.BNODE, T.LITERAL], "IRIOrLiteral": [T.IRI, T.LITERAL]}
     of_kind = F.lit(False)
-    for name, some in kinds.items():
-        of_kind = F.when(F.regexp_replace(arg, "^.*#", "") == name, kind.isin(some)).otherwise(of_kind)
-    typed = (kind == T.LITERAL) & (F.coalesce("o_dt", F.lit(T.XSD + "string")) == arg) & F.coalesce(_lexical(arg, o), F.lit(False))
+    for told, some in kinds.items():
+        of_kind = F.when(name == told, kind.isin(some)).otherwise(of_kind)
+    typed = (kind == T.LITERAL) & (F.coalesce("o_dt", F.lit(T.XSD + "string")) == arg) & F.coalesce(_lexical(name, o), F.lit(False))
     c = F.col("component")
     return (
         F.when(c == "datatype", ~typed)
@@ -97,6 +96,7 @@ def _fails() -> Column:
 
 def check(constraints: DataFrame, focus: DataFrame, vals: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """The report (``REPORT``, message) of constraint rows on (shape, focus). ``types`` (s, c): entailed classes, for ``class`` and ``qualifiedMinCount``."""
+    ensure_checkpoint_dir(constraints.sparkSession)
     told = constraints.groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per component
     has = {r.component: r.n for r in told}
     if set(has) - set(COMPONENTS):
@@ -104,10 +104,13 @@ def check(constraints: DataFrame, focus: DataFrame, vals: DataFrame, types: Data
     if types is None and has.keys() & {"class", "qualifiedMinCount"}:
         raise ValueError("constraints on classes need the types of nodes")
     small = (lambda df: F.broadcast(df)) if sum(has.values()) <= BROADCAST_CONSTRAINTS else (lambda df: df)
-    rules = constraints.distinct().withColumn("cid", F.xxhash64("shape", "component", "path", "value", "severity", "message", "allowed"))
+    # with the local name of the argument, for datatypes and node kinds: once a rule, not once a value
+    rules = constraints.distinct().withColumns({"cid": F.xxhash64("shape", "component", "path", "value", "severity", "message", "allowed"), "name": F.regexp_replace("value", "^.*#", "")}).checkpoint()
     of = lambda *names: rules.where(F.col("component").isin(*names))
     nodes = focus.distinct()
+    # values of focus nodes, written once: each kind of test reads them again
     mine = nodes.join(vals.withColumnRenamed("path", "at"), "focus")
+    mine = mine.checkpoint() if has.keys() & {"class", "closed", "qualifiedMinCount"} else mine
     # what a constraint hears of: single values that fail, counted values, values on the sides of a pair
     by_path = of(*[c for c in COMPONENTS if c not in ("class", "closed", "qualifiedMinCount")]).withColumns({"at": F.col("path"), "side": F.lit(1)})
     if "disjoint" in has:
