@@ -21,7 +21,7 @@ from quadrille.functions.terms import CANONICAL_VERBS
 from quadrille.operators import audits, closure, derived, documents, entail, governance, governed, ledger, quads, references, shapes, writes
 from quadrille.operators import seal as sealing
 from quadrille.operators.documents import Refused
-from quadrille.streaming import outbox
+from quadrille.session import ensure_checkpoint_dir
 
 OBLIGATION = "target_type string, obligation string, check_name string, active boolean"
 
@@ -90,6 +90,7 @@ def _now() -> str:
 
 def _requests(ctx: Context, p: dict, schema: str) -> DataFrame:
     """The payload as request rows; ``rid`` is the time of the call where it is one request."""
+    ensure_checkpoint_dir(_spark(ctx))
     if isinstance(p.get("rows"), DataFrame):
         return p["rows"]
     text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
@@ -104,6 +105,7 @@ def _docs(ctx: Context) -> DataFrame:
 def _sealed(ctx: Context, good: DataFrame, refused: DataFrame) -> DataFrame:
     """Seal what requests made, hold it, and answer (rid, id, ok, refused, digest, warnings) for each request."""
     log = ctx.ledger if ctx.ledger is not None else _empty(_spark(ctx), "seq bigint, instance_id string, body_sha256 string, sig string, prev_seq bigint, ts timestamp")
+    ensure_checkpoint_dir(_spark(ctx))
     good = good.checkpoint()
     out = sealing.seal(good, log, ctx.judge(), ctx.who(), F.current_timestamp(), ctx.obligations, ctx.evidence)
     refused = refused.checkpoint()
