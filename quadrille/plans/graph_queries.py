@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quadrille.dispatch import Context, dispatch
@@ -12,7 +14,8 @@ from quadrille.operators import pattern as P
 from quadrille.operators import quads as Q
 from quadrille.operators.numbering import numbered
 from quadrille.plans import model as M
-from quadrille.session import read_table
+from quadrille.session import ensure_checkpoint_dir, read_table
+from quadrille.sources import nquads
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -308,3 +311,10 @@ def route_inbound(spark, sf):
     good = F.concat(F.lit("input.kernel."), F.col("user_id").cast("string"), sender, F.lit(".action.do."), "event_type")
     subject = F.when(F.col("event_type") == "error", F.concat(F.lit("output."), good)).otherwise(good)
     return read_table(spark, sf, "events").select("event_id", *T.route(subject))
+
+
+@query("nquads_round_trip", f"WITH RECURSIVE {M.QUADS_SQL} SELECT DISTINCT g, s, p, o, s_kind, o_kind FROM quads")
+def nquads_round_trip(spark, sf):
+    path = f"{ensure_checkpoint_dir(spark)}/nquads-{uuid.uuid4().hex}"
+    nquads.write(M.quads(spark, sf), path)
+    return nquads.read(spark, path).select("g", "s", "p", "o", "s_kind", "o_kind")
