@@ -119,9 +119,9 @@ def _sealed(ctx: Context, good: DataFrame, refused: DataFrame) -> DataFrame:
     return rows.unionByName(refused.select("rid", none.alias("id"), F.lit(False).alias("ok"), F.col("reason").alias("refused"), none.alias("digest"), F.lit(0).alias("warnings")))
 
 
-def _propmap(ctx: Context) -> DataFrame:
+def _propmap(ctx: Context, surface: DataFrame | None = None) -> DataFrame:
     """(type, key, path) of all declared types, their ancestors' properties included; the kernel's graph goes before the others."""
-    surface = ctx.need("surface")
+    surface = ctx.need("surface") if surface is None else surface
     shaped = shapes.property_shapes(surface)
     own = shaped.select(F.col("target").alias("type"), F.col("target").alias("ancestor")).distinct()
     above = surface.where(F.col("p") == T.SUBCLASS).select(F.col("s").alias("type"), F.col("o").alias("ancestor"))
@@ -266,6 +266,37 @@ def _snapshot(ctx: Context, p: dict) -> DataFrame:
     return ctx.need("docs").select("id", "type")
 
 
+def _class(p: dict) -> str:
+    """The asked class; prefixed names are refused, as nothing expands them and they would look unknown."""
+    name = (p.get("type") or p.get("@type") or "").strip()
+    if not name:
+        raise Refused("type required")
+    if "://" not in name and not name.startswith("urn:"):
+        raise Refused(f"{name!r} is a prefixed name, not an IRI")
+    return name
+
+
+def _typecheck(ctx: Context, p: dict) -> DataFrame:
+    """(type, admitted, shaped, via, digest, epoch): whether the composed surface or the project's board admits a class, and under which surface."""
+    surface = ctx.need("surface")
+    asked = _spark(ctx).createDataFrame([(_class(p),)], "type string")
+    rows = shapes.admitted(asked, surface)
+    board = asked.select("type", F.lit(False).alias("by_board"))
+    if ctx.quads is not None:
+        board = shapes.admitted(asked, quads.graph(ctx.quads, f"urn:x:{ctx.project}/kernel/board")).select("type", F.col("admitted").alias("by_board"))
+    digest = quads.copy_digest(surface.withColumn("g", F.lit("surface"))).select("digest")
+    via = F.when(F.col("admitted"), "composed").when(F.col("by_board"), "board")
+    one = rows.join(board, "type").select("type", (F.col("admitted") | F.col("by_board")).alias("admitted"), "shaped", via.alias("via"), F.lit(ctx.epoch).alias("epoch"))
+    return one.withColumn("digest", F.lit((digest.first() or [None])[0]).cast("string"))
+
+
+def _declared(ctx: Context, p: dict) -> DataFrame:
+    """(key, path, kernel_path): what a class's short names stand for on the whole surface, and in the kernel's graph alone."""
+    of = lambda rows: rows.where(F.col("type") == _class(p)).select("key", "path")
+    own = _propmap(ctx, ctx.need("surface").where(F.col("g") == ctx.who().kernel))
+    return of(_propmap(ctx)).join(of(own).withColumnRenamed("path", "kernel_path"), "key", "left")
+
+
 def _validate(ctx: Context, p: dict) -> DataFrame:
     focus = {c.shape: shapes.focus_by_class(ctx.need("quads"), p["type"]) for c in p["constraints"]}
     return shapes.validate(p["constraints"], focus, shapes.values(ctx.need("quads")))
@@ -287,8 +318,8 @@ VERBS: dict[str, Callable[[Context, dict], DataFrame]] = {
     "instance.provenance": lambda c, p: ledger.provenance(c.need("ledger").where(F.col("instance_id") == p["id"]), c.need("proofs").where(F.col("about") == p["id"])),
     "surface.grounding": lambda c, p: quads.grounding(c.need("surface")),
     "surface.unshaped": lambda c, p: shapes.unshaped(c.need("surface")),
-    "surface.declared": lambda c, p: shapes.property_shapes(c.need("surface")).where(F.col("target") == p["type"]),
-    "surface.typecheck": lambda c, p: shapes.admitted(c.need("surface").sparkSession.createDataFrame([(p["type"],)], "type string"), c.need("surface")),
+    "surface.declared": _declared,
+    "surface.typecheck": _typecheck,
     "surface.explain": lambda c, p: shapes.explained(c.need("surface"), c.need("surface").sparkSession.createDataFrame([(p["type"],)], "type string")),
     "surface.check": lambda c, p: audits.surface_check(c.project, c.epoch, _docs(c), c.need("surface"), c.need("quads") if c.quads is not None else c.need("surface"), p.get("adopted")),
     "integrity.check": lambda c, p: audits.integrity(c.need("docs"), c.need("surface")),

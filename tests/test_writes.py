@@ -148,3 +148,19 @@ def test_requests_of_nothing(spark, law):
     good, refused = W.create(none, spark.createDataFrame([], "type string, key string, path string"), "now")
     assert good.isEmpty() and refused.isEmpty()
     assert dispatch(context(law), "instance.create", {"rows": none}).isEmpty()
+
+
+def test_what_the_surface_says_of_a_class(spark, law):
+    extra = turtle.read_text(spark, f"@prefix sh: <{T.SHACL}> . <urn:m/S> a sh:NodeShape ; sh:targetClass <urn:t/Ship> ; sh:property [ sh:path <urn:m/port> ] .", "urn:m")
+    board = turtle.read_text(spark, f"<urn:b/Card> a <{T.OWL}Class> .", "urn:x:demo/kernel/board")
+    ctx = Context("demo", "ann", b"k", surface=law.unionByName(extra), quads=board, epoch=4)
+    told = lambda name: one(dispatch(ctx, "surface.typecheck", {"type": name}))
+    ship, card, none = told("urn:t/Ship"), told("urn:b/Card"), told("urn:t/Rock")
+    assert (ship.admitted, ship.shaped, ship.via, ship.epoch) == (True, True, "composed", 4) and len(ship.digest) == 64
+    assert (card.admitted, card.shaped, card.via) == (True, False, "board") and (none.admitted, none.via) == (False, None)
+    got = {r.key: (r.path, r.kernel_path) for r in dispatch(ctx, "surface.declared", {"@type": "urn:t/Ship"}).collect()}
+    assert got["port"] == ("urn:m/port", None) and got["crew"] == ("urn:t/crew", "urn:t/crew") and got["name"] == ("urn:t/name", "urn:t/name")
+    for verb in ("surface.typecheck", "surface.declared"):
+        for bad in ({}, {"type": " "}, {"type": "t:Ship"}):
+            with pytest.raises(Refused):
+                dispatch(ctx, verb, bad)
